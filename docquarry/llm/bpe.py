@@ -188,6 +188,10 @@ def loaded(path: str) -> SegmentTreeBpe:
     return _LOADED[path]
 
 
+def memory(path: str) -> dict[str, bytes]:
+    return _MEMO.setdefault(path, {})
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` binary: the text's token ids, each as a little-endian unsigned 32-bit integer.
 
@@ -197,7 +201,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bpe, memo = loaded(tokenizer), _MEMO.setdefault(tokenizer, {})
+        bpe, memo = loaded(tokenizer), memory(tokenizer)
         for whole in batches:
             for batch in slices(whole, text, SLICE):
                 chunks = [t.split(" ") for t in texts(batch, text)]

@@ -97,6 +97,12 @@ class ByteBpe:
 _LOADED: dict[str, ByteBpe] = {}
 
 
+def loaded(path: str) -> ByteBpe:
+    if path not in _LOADED:
+        _LOADED[path] = ByteBpe(path)
+    return _LOADED[path]
+
+
 def powers(n: int) -> list[int]:
     """The powers of two that add up to n, descending."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -165,7 +171,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, ByteBpe(tokenizer))
+        bpe = loaded(tokenizer)
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []

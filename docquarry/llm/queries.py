@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing
+from . import bpe, packing, substring
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,5 +30,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing}
-ORACLES: dict[str, str] = {}
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), starts as (
+  select doc_id, w, unnest(range(1, len(w) - 33)) as i from words
+), windows as (
+  select doc_id, i, count(*) over (partition by array_to_string(w[i:i + 34], ' ')) as n from starts
+), covered as (
+  select distinct doc_id, i + unnest(range(0, 35)) as p from windows where n > 1
+), gone as (
+  select doc_id, list(p) as ps, count(*) as n from covered group by doc_id
+), done as (
+  select words.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+    array_to_string(case when ps is null then w else list_filter(w, lambda x, j: not list_contains(ps, j)) end, ' ') as kept
+  from words left join gone on words.doc_id = gone.doc_id
+)
+select doc_id, n_words, n_removed, sha256(kept) as kept_sha256 from done
+"""
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_substring": op3_substring, "op6_packing": op6_packing}
+ORACLES: dict[str, str] = {"op3_substring": OP3_SQL}
