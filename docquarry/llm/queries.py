@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, substring
+from . import bpe, lines, packing, simhash, substring, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,5 +55,63 @@ select doc_id, n_words, n_removed, sha256(kept) as kept_sha256 from done
 """
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_substring": op3_substring, "op6_packing": op6_packing}
-ORACLES: dict[str, str] = {"op3_substring": OP3_SQL}
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.remove_boilerplate(docs).select("doc_id", "source", "text", "n_lines", "n_removed")
+
+
+OP5_SQL = """
+with pages as (
+  select source, count(*) as pages from documents group by source
+), split as (
+  select source, unnest(list_distinct(string_split(text, chr(10)))) as line from documents
+), boilerplate as (
+  select split.source, line from split join pages on split.source is not distinct from pages.source
+  where trim(line, ' ' || chr(9) || chr(13)) <> ''
+  group by split.source, line, pages having count(*) >= 5 and count(*) > 0.05 * pages
+), hosts as (
+  select source, list(line) as bad from boilerplate group by source
+), done as (
+  select doc_id, d.source, text, string_split(text, chr(10)) as ls,
+    list_filter(string_split(text, chr(10)), lambda x: bad is null or not list_contains(bad, x)) as kept
+  from documents d left join hosts on d.source is not distinct from hosts.source
+)
+select doc_id, source, case when text is null then null else array_to_string(kept, chr(10)) end as text,
+  cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(len(ls) - len(kept), 0) as bigint) as n_removed
+from done
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) as bigint) as score
+  from rows q join rows c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_substring": op3_substring,
+    "op5_lines": op5_lines,
+    "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
+    "op10_topk": op10_topk,
+}
+ORACLES: dict[str, str] = {"op3_substring": OP3_SQL, "op5_lines": OP5_SQL, "op10_topk": OP10_SQL}
