@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, html_text, lines, packing, simhash, substring, topk, toxicity
+from . import bpe, cws, html_text, lines, packing, simhash, substring, topk, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,6 +100,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cws.compare(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", cws.as_text(F.col("signature")).alias("fingerprint"), cws.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -127,6 +132,7 @@ QUERIES = {
     "op5_lines": op5_lines,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_fingerprints": op8_fingerprints,
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {"op3_substring": OP3_SQL, "op5_lines": OP5_SQL, "op10_topk": OP10_SQL}
