@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cws, html_text, lines, packing, simhash, substring, topk, toxicity
+from . import bpe, cws, html_text, lines, maxent, packing, simhash, substring, topk, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,6 +105,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", cws.as_text(F.col("signature")).alias("fingerprint"), cws.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -133,6 +137,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_fingerprints": op8_fingerprints,
+    "op9_lm": op9_lm,
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {"op3_substring": OP3_SQL, "op5_lines": OP5_SQL, "op10_topk": OP10_SQL}
