@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 from .common import append_columns, slices, texts
 
 #: Words whose ids a task keeps before it forgets them all.
-MEMO = 400_000
+MEMO = 250_000
 #: Bytes of text that are encoded together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Symbols in one matrix at most.
-MATRIX = 1 << 20
+MATRIX = 1 << 19
 #: White space of Unicode, as the regular expressions of tokenizer files have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
