@@ -30,6 +30,18 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[I
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """The batch's texts as str; null is the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import fresh
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -54,18 +55,19 @@ def remove_boilerplate(
     """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_removed`` added."""
     found = cut(boilerplate(docs, host_col, text_col, ratio, min_pages))
     size = found.agg(F.sum(F.expr("aggregate(lines, 64L, (s, x) -> s + octet_length(x) + 16)"))).first()[0] or 0
-    named = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
+    host, bad, of, salt, left = fresh(docs, "host", "bad", "of", "salt", "left")
+    named = found.select(F.col("host").alias(host), F.col("lines").alias(bad))
     if size <= broadcast_bytes:
-        joined = docs.join(F.broadcast(named), docs[host_col].eqNullSafe(named["__host"]), "left")
+        joined = docs.join(F.broadcast(named), docs[host_col].eqNullSafe(named[host]), "left")
     else:
-        salted = named.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = docs.withColumn("__salt", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
-        joined = spread.join(salted, spread[host_col].eqNullSafe(salted["__host"]) & (spread["__salt"] == salted["__of"]), "left")
+        salted = named.withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = docs.withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
+        joined = spread.join(salted, spread[host_col].eqNullSafe(salted[host]) & (spread[salt] == salted[of]), "left")
     split = F.split(text_col, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains("__lines", x))
-    marked = joined.withColumn("__kept", F.when(F.col("__lines").isNull(), split).otherwise(kept))
-    text = F.when(F.size("__kept") == F.size(split), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long")}
-    new = {"n_lines", "n_removed"}
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in new]
-    return marked.select(*columns, *[F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(v).alias(k) for k, v in counts.items()])
+    kept = F.filter(split, lambda x: ~F.array_contains(bad, x))
+    marked = joined.withColumn(left, F.when(F.col(bad).isNull(), split).otherwise(kept))
+    text = F.when(F.size(left) == F.size(split), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    new = {"n_lines": F.size(split), "n_removed": F.size(split) - F.size(left)}
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    none = F.col(text_col).isNull()
+    return marked.select(*columns, *[F.when(none, F.lit(0)).otherwise(v).cast("long").alias(k) for k, v in new.items()])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import append_columns, raw_texts
+from .common import append_columns, fresh, raw_texts
 from .graph import components
 
 MOST = 3
@@ -211,7 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group one row, that of the smallest id."""
-    best = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("simhash").alias("__fp"), F.col("group").alias("__group")).distinct()
-    marked = with_fingerprint(docs, text_col, "__fp_own")
-    kept = marked.join(best, marked[id_col].cast("long").eqNullSafe(best["__id"]) & (marked["__fp_own"] == best["__fp"]))
-    return kept.dropDuplicates(["__id", "__group"]).select(*docs.columns)
+    i, fp, group, own = fresh(docs, "id", "fp", "group", "own")
+    found = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id")
+    best = found.select(F.col("doc_id").alias(i), F.col("simhash").alias(fp), F.col("group").alias(group)).distinct()
+    marked = with_fingerprint(docs, text_col, own)
+    kept = marked.join(best, marked[id_col].cast("long").eqNullSafe(best[i]) & (marked[own] == best[fp]))
+    return kept.dropDuplicates([i, group]).select(*[f"`{c}`" for c in docs.columns])

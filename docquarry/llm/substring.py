@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, raw_texts, slices
+from .common import append_columns, fresh, raw_texts, slices
 
 WINDOW = 35
 GRAM = 4
@@ -308,20 +308,20 @@ def _count(blobs: DataFrame, window: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, _SPANS)
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
-    """``docs`` with ``spans`` added: array of (start, stop) word ranges to remove, in order, apart.
+def mark(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+    """``docs`` with ``out`` added: array of (start, stop) word ranges to remove, by their starts.
 
-    ``buckets`` is the number of buckets; by default the shuffle partitions
-    of the session, at least 64.
+    ``buckets`` is the number of buckets; by default four times the shuffle
+    partitions of the session, at least 64.
     """
     spark = docs.sparkSession
     buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
     spans = _count(_split(rows, window, gram, buckets), window)
-    merged = spans.groupBy("id", "fp").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    left = docs.withColumn("__fp", F.xxhash64(F.col(text_col))).drop("spans")
-    on = (F.col(f"l.{id_col}").cast("long").eqNullSafe(F.col("r.id"))) & (F.col("l.__fp") == F.col("r.fp"))
-    return left.alias("l").join(merged.alias("r"), on, "left").select("l.*", "r.spans").drop("__fp")
+    i, fp, own = fresh(docs, "id", "fp", "own")
+    merged = spans.groupBy(F.col("id").alias(i), F.col("fp").alias(fp)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(out))
+    left = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    return left.join(merged, left[id_col].cast("long").eqNullSafe(merged[i]) & (left[own] == merged[fp]), "left").drop(i, fp, own)
 
 
 def _apart(spans: list | None) -> list[tuple[int, int]]:
@@ -337,12 +337,13 @@ def _apart(spans: list | None) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (the words left, joined by a space), ``n_words`` and ``n_removed`` added."""
-    marked = mark(docs, id_col, text_col, window, gram, buckets)
+    (spans_col,) = fresh(docs, "spans")
+    marked = mark(docs, spans_col, id_col, text_col, window, gram, buckets)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:
             for batch in slices(whole, text_col, SLICE):
-                spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+                spans = batch.column(batch.schema.get_field_index(spans_col)).to_pylist()
                 kept, n_words, n_removed = [], [], []
                 for text, own in zip(raw_texts(batch, text_col), spans, strict=True):
                     words = text.split()
@@ -358,4 +359,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 yield batch, [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
 
     fields = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    return append_columns(marked, fields, make).drop("spans")
+    return append_columns(marked, fields, make).drop(spans_col)
