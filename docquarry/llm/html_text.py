@@ -1,15 +1,16 @@
 """Main text of HTML pages by tag-path ratios.
 
-A tolerant scan gives the text of each block with the path of tags from the
-root to it. For each path of a page, text length and punctuation are summed
-and divided by the number of nodes; the ratios are smoothed over neighbouring
-paths in page order, the two are fused as the product of one with the other's
-logarithm, and paths whose fused ratio reaches a share of the page's spread
-are content. What stands in menus, page headers, footers, asides, forms,
-scripts and styles, or under a class, id or role that says advert, notice,
-sidebar, menu or comments, is no candidate. Where the page marks an article or
-main element, its blocks are all content; only pages without one need the
-ratios to decide.
+A tolerant scan gives the text of each block with its tag path from the root,
+each tag with its first class. For each path of a page, text length and
+punctuation are summed and divided by the path's nodes; the ratios are
+smoothed over neighbouring paths below the same element and fused, length
+times the logarithm of punctuation; and the paths whose fused ratio reaches a
+share of the page's spread, or its greatest value, are content. A content path
+stands for its container, the article or main element above it or else its
+parent if that is not the body: what is in there is text of the same article,
+headings and short lines too. What stands in menus, page headers, footers,
+asides, forms, scripts and styles, or under a class, id or role that says
+advert, notice, sidebar, menu or comments, is no candidate.
 
 Null and empty pages give the empty text. Unclosed, crossing or cut-off tags
 and references are read as browsers do. Repeated rows give the same text; an
@@ -32,6 +33,8 @@ from .common import append_columns, slices, texts
 SLICE = 4 << 20
 #: A path is content from this share of the page's standard deviation of fused ratios on.
 SHARE = 0.5
+#: And from this share of the page's greatest.
+LEAST = 0.2
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +68,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""", re.I | re.S)
+_CLASS = re.compile(r"""(?:^|[\s"'])class\s*=\s*["']?\s*([\w-]+)""", re.I)
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 _STATED = re.compile(r"(?<![\w-])(?:with|without|has|no|non)[-_][\w-]+", re.I)
 _SPACE = re.compile(r"[\s​]+")
@@ -90,25 +94,25 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, in an article or main, whether it is a candidate) of each block with text, in page order."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, unwanted, article
+def blocks(page: str) -> list[tuple[str, str, bool]]:
+    """(path, text, whether it is a candidate) of each block with text, in page order."""
+    out: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, bool, str]] = []  # tag, unwanted, label in the path
     parts: list[str] = []
-    state = ("", False, True)
+    state = ("", True)
     at, size, lower = 0, len(page), None
 
     def emit() -> None:
         nonlocal parts
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((state[0], text, state[1], state[2]))
+            out.append((state[0], text, state[1]))
         parts = []
 
     def settle() -> None:
         """What the open elements say about text that comes now."""
         nonlocal state
-        state = ("/".join(t for t, _, _ in stack if t in BLOCK), any(a for _, _, a in stack), not any(u for _, u, _ in stack))
+        state = ("/".join(x for _, _, x in stack if x), not any(u for _, u, _ in stack))
 
     def close(index: int) -> None:
         del stack[index:]
@@ -161,7 +165,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 if stack[i][0] in closed:
                     del stack[i:]
                     break
-        inside = any(a for _, _, a in stack)
+        inside = any(t in ("article", "main") for t, _, _ in stack)
         unwanted = _unwanted(tag, m[3], inside)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -172,41 +176,54 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "math"):
             settle()
             continue
-        stack.append((tag, unwanted, tag in ("article", "main")))
+        label = ""
+        if tag in BLOCK:
+            own = _CLASS.search(m[3]) if m[3] else None
+            label = f"{tag}.{own[1]}" if own else tag
+        stack.append((tag, unwanted, label))
         settle()
     emit()
     return out
 
 
-def content_paths(found: list[tuple[str, str, bool, bool]]) -> set[str]:
-    """The paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
-    sums: dict[str, list[float]] = {}
-    for path, text, _, _ in found:
+def content_paths(found: list[tuple[str, str]]) -> set[str]:
+    """The paths (of blocks with path and text) whose smoothed and fused ratios reach the threshold."""
+    sums: dict[str, list[int]] = {}
+    for path, text in found:
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_MARKS.findall(text))
     paths = list(sums)
-    length = [sums[p][1] / sums[p][0] for p in paths]
-    marks = [sums[p][2] / sums[p][0] for p in paths]
+    above = [p.rpartition("/")[0] for p in paths]
 
     def smooth(x: list[float]) -> list[float]:
-        weights = (0.25, 0.5, 0.25)
-        return [sum(w * x[min(max(i + d, 0), len(x) - 1)] for d, w in zip((-1, 0, 1), weights, strict=True)) for i in range(len(x))]
+        """Half a path's own ratio, and a quarter of each neighbour's below the same element."""
+        near = [[j if 0 <= j < len(x) and above[j] == above[i] else i for j in (i - 1, i + 1)] for i in range(len(x))]
+        return [0.5 * x[i] + 0.25 * (x[a] + x[b]) for i, (a, b) in enumerate(near)]
 
-    fused = [a * math.log1p(b) for a, b in zip(smooth(length), smooth(marks), strict=True)]
+    length = smooth([n / k for k, n, _ in sums.values()])
+    marks = smooth([m / k for k, _, m in sums.values()])
+    fused = [a * math.log(2 + b) for a, b in zip(length, marks, strict=True)]
     mean = sum(fused) / max(1, len(fused))
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / max(1, len(fused)))
-    return {p for p, x in zip(paths, fused, strict=True) if x >= SHARE * spread and x > 0}
+    least = min(max(fused, default=0.0), max(SHARE * spread, LEAST * max(fused, default=0.0)))
+    return {p for p, x in zip(paths, fused, strict=True) if x >= least}
+
+
+def container(path: str) -> str:
+    """The path of the element whose blocks a content path speaks for; itself if that is the body or the root."""
+    steps = path.split("/")
+    for i, s in enumerate(steps):
+        if s.partition(".")[0] in ("article", "main"):
+            return "/".join(steps[: i + 1])
+    return "/".join(steps[:-1]) if len(steps) > 1 and steps[-2].partition(".")[0] not in ("body", "html") else path
 
 
 def main_text(page: str) -> str:
-    found = [b for b in blocks(page) if b[3]]
-    marked = [b for b in found if b[2]]
-    if marked:
-        return "\n".join(b[1] for b in marked)
-    chosen = content_paths(found) or {b[0] for b in found}
-    return "\n".join(b[1] for b in found if b[0] in chosen)
+    found = [(path, text) for path, text, candidate in blocks(page) if candidate]
+    wide = {container(p) for p in content_paths(found)}
+    return "\n".join(text for path, text in found if any(path == w or path.startswith(f"{w}/") for w in wide))
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

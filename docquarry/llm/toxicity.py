@@ -52,7 +52,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "pond scum", "stupid question", "sore loser")
 
 _HIDDEN = re.compile("[­​-‏⁠︀-️﻿]")
-_SIGN = re.compile(r"(?:(?<=[^\W\d_])[013457@$!]|(?<![^\s])[013457@$](?=[013457@$!]*[^\W\d_]))(?=[013457@$!]*[^\W\d_])")
+_SIGN = re.compile(r"(?:(?<=[^\W_])|(?<=[@$!])|(?<!\S)(?!!))[013457@$!](?=[013457@$!]*[^\W\d_])")
 _GAP = re.compile(r"[\W_]+")
 
 

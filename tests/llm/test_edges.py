@@ -1,0 +1,144 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
+
+import hashlib
+import math
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from docquarry.llm import bpe, cws, html_text, lines, maxent, packing, substring, topk, toxicity
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+LONG = "many different words stand here and there, idiot " * 4000
+#: Columns that clash with what operators add or use inside.
+SCHEMA = "doc_id long, text string, source string, Score double, ids int, spans int, kept string, n_removed int, __host string, `fp` int, signature string"
+ROWS = [(1, "A b c", "s"), (1, "A b c", "s"), (None, "null id", None), (2, None, "s"), (3, "", "s"), (4, " \n\t ", None), (5, LONG, "s"), (6, "É 漢字 😀", "s")]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, t, s, 0.5, 1, 2, "k", 3, "h", 4, "sig") for i, t, s in ROWS], SCHEMA)
+
+
+def by_id(rows, *columns):
+    return sorted(((r.doc_id is None, r.doc_id or 0, *[r[c] for c in columns]) for r in rows), key=repr)
+
+
+def test_bpe(spark, docs):
+    out = bpe.decode(bpe.encode(docs, WORD), WORD)
+    assert set(out.columns) == {*docs.columns, "decoded"}
+    rows = out.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        assert (len(r.ids) == 0) == (not (r.text or "").strip())
+        assert (r.decoded == "") == (len(r.ids) == 0)
+    assert bpe.encode(docs.limit(0), WORD).count() == 0
+
+
+def test_toxicity(spark, docs):
+    labels = spark.createDataFrame([(1, 0), (5, 1), (None, 1), (2, None), (3, 0)], "doc_id long, toxic int")
+    for lexicon in (toxicity.fit(docs, labels), toxicity.fit(docs.limit(0), labels.limit(0)), toxicity.Lexicon({" idiot ": 3.0}, cutoff=0.5)):
+        out = toxicity.score(docs, lexicon, out="score")
+        assert [c.lower() for c in out.columns].count("score") == 1
+        assert "signature" in out.columns
+        rows = out.collect()
+        assert len(rows) == len(ROWS)
+        assert all(0 <= r.score <= 1 for r in rows)
+        assert all(r.score == 0 for r in rows if not (r.text or "").strip())
+    assert max(r.score for r in rows) > 0.7
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0
+
+
+def test_substring(spark, docs):
+    rows = substring.remove(docs).collect()
+    assert len(rows) == len(ROWS)
+    got = {(r.doc_id, r.text): (r.n_words, r.n_removed, r.kept) for r in rows}
+    assert got[2, None] == got[3, ""] == got[4, " \n\t "] == (0, 0, "")
+    assert got[1, "A b c"] == (3, 0, "A b c")
+    n = len(LONG.split())
+    assert got[5, LONG] == (n, n, "")
+    assert got[None, "null id"] == (2, 0, "null id")
+    assert "signature" in substring.remove(docs).columns
+    assert substring.remove(docs.limit(0)).count() == 0
+
+
+def test_lines(spark, docs):
+    assert lines.remove_boilerplate(docs, min_pages=1, ratio=0.0).select(*[f"`{c}`" for c in docs.columns if c != "n_removed"]).count() == len(ROWS)
+    for size in (0, 1 << 20):
+        rows = lines.remove_boilerplate(docs, min_pages=2, ratio=0.1, broadcast_bytes=size, salts=3).collect()
+        assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in rows if r.doc_id in (1, 2, 3, 4, None)} == {
+            (1, "", 1, 1), (2, None, 0, 0), (3, "", 1, 0), (4, " \n\t ", 2, 0), (None, "null id", 1, 0),
+        }
+        assert len(rows) == len(ROWS)
+    assert lines.remove_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_packing(spark, docs):
+    rows = packing.pack_documents(docs, BYTE).collect()
+    lengths = {}
+    for r in rows:
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert lengths[2] == lengths[3] == 1
+    assert lengths[1] == 2 * next(r.doc_tokens for r in rows if r.doc_id == 1)
+    assert None in lengths
+    assert packing.pack_documents(docs.limit(0), BYTE).count() == 0
+
+
+def test_html(spark):
+    pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>" * 5000 + "deep", "x"), (4, "u", "<p>a&amp;b<p>a&amp;b", "x"), (4, "u", "<p>a&amp;b<p>a&amp;b", "x")], "page_id long, url string, html string, TEXT string")
+    out = html_text.extract(pages)
+    assert [c.lower() for c in out.columns].count("text") == 1
+    assert sorted((r.page_id, r.text) for r in out.collect()) == [(1, ""), (2, ""), (3, "deep"), (4, "a&b\na&b"), (4, "a&b\na&b")]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_fingerprints(spark, docs):
+    rows = cws.compare(docs, samples=16).collect()
+    assert len(rows) == len(ROWS)
+    got = {(r.doc_id): r for r in rows}
+    order = [(None, "null id"), (1, "A b c"), (2, ""), (3, ""), (4, " \n\t "), (5, LONG), (6, "É 漢字 😀")]
+    for (i, text), (_, then) in zip(order, order[1:] + order[:1], strict=True):
+        h = len(text) // 2
+        assert got[i].n_chars == len(text)
+        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - h] + then[:h]).encode()).hexdigest(), i
+    assert got[2].near_next == got[2].near_edited == 1.0
+    assert got[2].signature == got[3].signature == got[4].signature
+    assert cws.compare(docs.limit(0), samples=4).count() == 0
+
+
+def test_language_model(spark, docs):
+    rows = maxent.score(docs).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        assert r.score <= 0
+        assert math.isfinite(r.base_score)
+    assert {r.n_tokens for r in rows if r.doc_id in (2, 3, 4)} == {1}
+    assert maxent.score(docs.limit(0)).count() == 0
+    # nothing to learn from: id 4 is held out
+    alone = maxent.score(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")).collect()
+    assert all((r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0) for r in alone)
+
+
+def test_top_k(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [1.0, 2.0], 9), (50, [1.0, 2.0], 9), (1, [1.0, 2.0], 9), (2, [1.0, 2.0], 9), (3, None, 9), (4, [1.0, None], 9), (5, [inf, 0.0], 9), (6, [nan, 1.0], 9), (7, [], 9), (8, [-1.0], 9), (8, [-1.0], 9), (100, None, 9), (None, [5.0, 5.0], 9), (9, [0.0, -0.001, 3.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect())
+    s = 256 * 256 * 5
+    want = [(0, 1, 1, s), (0, 2, 2, s), (0, 3, 50, s), (0, 4, 7, 0), (0, 5, 9, -512), (50, 1, 0, s), (50, 2, 1, s), (50, 3, 2, s), (50, 4, 7, 0), (50, 5, 9, -512)]
+    assert got == want
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_product_of_large_numbers_is_exact():
+    q = np.array([[2**40, 3]], np.int64)
+    assert topk.products(q, np.array([[2**20, 5]], np.int64)).tolist() == [[2**60 + 15]]
+
+
+def test_ids_are_kept_as_they_are(spark, docs):
+    want = by_id([r for r in docs.collect()])
+    for out in (bpe.encode(docs, WORD), substring.remove(docs), cws.compare(docs, samples=4), maxent.score(docs), lines.remove_boilerplate(docs)):
+        assert by_id(out.select(F.col("doc_id")).collect()) == want
