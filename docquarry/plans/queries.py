@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import make
 from ..functions import variant as V
-from ..operators import aggregates, compare, conformance, jtd
+from ..operators import aggregates, compare, conformance, jtd, tree
 from ..path import exists, first, nodes
 from ..session import table
 from ..sources import documents as D
@@ -293,3 +294,24 @@ def stream_windows(spark, d):
     name = f"stream_{uuid.uuid4().hex}"
     S.windowed_sums(events.withColumn("doc", doc), "ts", "doc", "$.value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select("start", "n", F.round("total", 2).alias("total"))
+
+
+@query("""select c_custkey, ptr, depth, kind, text from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey,
+lateral (values ('', 0, 'object', null), ('/name', 1, 'string', c_name), ('/segment', 1, 'string', c_mktsegment), ('/nation', 1, 'object', null), ('/nation/name', 2, 'string', n_name), ('/nation/key', 2, 'number', cast(n_nationkey as varchar)),
+('/nation/region', 2, 'object', null), ('/nation/region/name', 3, 'string', r_name), ('/nation/region/key', 3, 'number', cast(r_regionkey as varchar))) t(ptr, depth, kind, text)""")
+def tree_nodes(spark, d):
+    v = D.parsed(D.customer_docs(spark, d))
+    return tree.node_table(v, "v", "c_custkey", depth=6).where("ptr <> '/balance'").select("c_custkey", "ptr", "depth", "kind", "text")
+
+
+@query("select c_custkey, count(*) as n from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey, generate_series(1, 5) group by 1")
+def tree_descendants(spark, d):
+    v = tree.node_table(D.parsed(D.customer_docs(spark, d)), "v", "c_custkey", depth=6)
+    return tree.descendants(v, "/nation").groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, user_id, event_type from events")
+def make_objects(spark, d):
+    """Values built from columns read back as they were."""
+    v = table(spark, d, "events").select("event_id", make.json_object(u=F.col("user_id"), t=F.col("event_type")).alias("v"))
+    return v.select("event_id", _LONG(V.member(F.col("v"), "u")).alias("user_id"), _TEXT(V.member(F.col("v"), "t")).alias("event_type"))
