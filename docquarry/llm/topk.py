@@ -5,9 +5,9 @@ its local scores, one from each list. Phase one gathers from every list each
 query's k best local scores; the full scores of these rows give a cutoff: the
 k-th best of them, which no row of the answer falls below. Phase two sends the
 cutoff to the lists, and each returns all rows whose local score reaches
-cutoff / parts; any row that no list returns has a sum below the cutoff. Rows
-whose local scores, with cutoff / parts for those not returned, cannot reach
-the cutoff go. Phase three resolves the rest exactly.
+cutoff / parts; any row that no list returns has a sum below the cutoff. Phase
+three resolves what is returned exactly, in the task that holds the row's
+lists: the sum of its local scores is its score, and rows below the cutoff go.
 
 Vectors travel in blocks of ``block`` rows, queries in blocks of ``queries``;
 every block of queries meets every block of vectors, so nothing that grows
@@ -78,8 +78,26 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)  # raises where a score is no long
 
 
+def total(lists: list[np.ndarray]) -> np.ndarray:
+    """Exact sums of local scores."""
+    most = max(max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in lists)
+    if most * len(lists) <= np.iinfo(np.int64).max:
+        return np.sum(lists, axis=0)
+    return sum(x.astype(object) for x in lists).astype(np.int64)  # raises where a score is no long
+
+
+def _best(local: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each query's k best local scores in the block, but for the query's own row."""
+    order = np.where(own, np.iinfo(np.int64).min, local)
+    rows, width = local.shape
+    n = min(k, width)
+    best = np.argpartition(-order, n - 1, axis=1)[:, :n] if n < width else np.broadcast_to(np.arange(n), (rows, n))
+    a, b = np.repeat(np.arange(rows), n), best.ravel()
+    return a[~own[a, b]], b[~own[a, b]]
+
+
 def _pairs(blocks: DataFrame, queries: DataFrame, n_query_blocks: int, width: int, parts: int, k: int, phase: int) -> DataFrame:
-    """Local scores (query_id, vec_id, part, local): each list's k best, or all that reach the cutoffs."""
+    """(query_id, vec_id, part, local): each list's k best local scores (phase 1), or the scores, as part -1, of all rows that a list returns and that reach the cutoff (phases 2 and 3)."""
     edges = [width * i // parts for i in range(parts + 1)]
     spread = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).join(queries, "query_block")
 
@@ -90,19 +108,17 @@ def _pairs(blocks: DataFrame, queries: DataFrame, n_query_blocks: int, width: in
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
                 v, q = np.frombuffer(matrix, "<i8").reshape(len(ids), width), np.frombuffer(q_matrix, "<i8").reshape(len(q_ids), width)
                 own = q_ids[:, None] == ids[None, :]
-                for part in range(parts):
-                    local = products(q[:, edges[part] : edges[part + 1]], v[:, edges[part] : edges[part + 1]])
-                    if phase == 1:
-                        order = np.where(own, np.iinfo(np.int64).min, local)
-                        n = min(k, len(ids))
-                        best = np.argpartition(-order, n - 1, axis=1)[:, :n] if n < len(ids) else np.broadcast_to(np.arange(n), (len(q_ids), n))
-                        a, b = np.repeat(np.arange(len(q_ids)), n), best.ravel()
-                        a, b = a[~own[a, b]], b[~own[a, b]]
-                    else:
-                        bound = np.frombuffer(cutoffs, "<f8") / parts
-                        a, b = np.nonzero((local >= bound[:, None]) & ~own)
+                lists = [products(q[:, a:b], v[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                if phase == 1:
+                    found = [_best(local, own, k) for local in lists]
+                else:
+                    cutoff = np.frombuffer(cutoffs, "<f8")[:, None]
+                    returned = np.logical_or.reduce([local >= cutoff / parts for local in lists]) & ~own
+                    lists = [total(lists)]
+                    found = [np.nonzero(returned & (lists[0] >= cutoff))]
+                for part, (local, (a, b)) in enumerate(zip(lists, found, strict=True)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_ids[a]), pa.array(ids[b]), pa.array(np.full(len(a), part, np.int32)), pa.array(local[a, b])],
+                        [pa.array(q_ids[a]), pa.array(ids[b]), pa.array(np.full(len(a), part if phase == 1 else -1, np.int32)), pa.array(local[a, b])],
                         names=["query_id", "vec_id", "part", "local"],
                     )
 
@@ -149,8 +165,5 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     cutoffs = cut(ranked.where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("cutoff")))
 
     reached = _pairs(blocks, query_blocks(cutoffs), n_blocks, width, parts, k, 2)
-    summed = reached.groupBy("query_id", "vec_id", "part").agg(F.max("local").alias("local")).groupBy("query_id", "vec_id").agg(F.sum(F.col("local").cast("double")).alias("found"), F.count("*").alias("lists"))
-    bounded = summed.join(cutoffs.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
-    could = bounded.where(F.col("cutoff").isNull() | (F.col("found") + (parts - F.col("lists")) * F.col("cutoff") / parts >= F.col("cutoff") - F.abs("cutoff") * 1e-9 - 1e-6))
-    final = _resolved(could.select("query_id", "vec_id"), rows, dealt)
+    final = reached.groupBy("query_id", "vec_id").agg(F.max("local").alias("score"))
     return final.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
