@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -27,6 +27,11 @@ def small_star(edges: DataFrame) -> DataFrame:
     return own.union(rest).distinct()
 
 
+def _state(edges: DataFrame) -> Row:
+    """A checksum of distinct edges; exclusive or, unlike a sum, cannot overflow however many there are."""
+    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v long); the root is the component's least node.
 
@@ -37,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("u <> v").select("u", "v").distinct())
     before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) >> 8"))).first()
+        state = _state(now)
         if state == before:
             break
         before = state

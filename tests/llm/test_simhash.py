@@ -2,8 +2,9 @@ import random
 
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from docquarry.llm import simhash
+from docquarry.llm import graph, simhash
 
 SCHEMA = "doc_id long, text string, simhash string, extra int"
 
@@ -89,3 +90,10 @@ def test_whole_table(spark):
     got = __spark_entry__.queries()["op7_simhash"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{p:016x}", least[group[p]]) for i, p in prints.items()}
     assert len(got) == len(docs)
+
+
+def test_components_of_a_million_edges(spark):
+    n = 1_000_000
+    edges = spark.range(n).select(F.xxhash64("id").alias("u"), F.xxhash64(F.col("id") + n).alias("v"))
+    found = graph.components(edges)
+    assert found.agg(F.count("*"), F.count_distinct("root")).first()[:] == (2 * n, n)
