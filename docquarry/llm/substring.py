@@ -8,6 +8,12 @@ minimisers, so each bucket can tell alone which of its windows repeat: it sorts
 their hashes, and compares the words of windows that agree in it, so that no
 collision counts.
 
+How much travels is measured first: the bytes of the strings of each cell, a
+class of minimisers. Cells are put together to buckets of at most ``bound``
+bytes of strings. A cell beyond the bound (a phrase that some source repeats
+everywhere) is split: each of its windows travels alone, to the bucket of its
+own hash, so equal windows still meet.
+
 Strings that repeat within a batch of documents are known to repeat there;
 only one copy of each goes on, without its places, so a passage that a third
 of all documents share arrives once from each batch. The strings of a batch
@@ -39,6 +45,10 @@ GRAM = 4
 SLICE = 6 << 20
 #: Bytes of packed strings that a task gathers before it hands them on.
 GATHER = 24 << 20
+#: Bytes of packed strings that a bucket holds at most; about 25 times as many are in use while it is looked at.
+BOUND = 16 << 20
+#: Bytes of text to a cell. Its strings have about three times as many.
+CELL = 64 << 10
 
 _MIX1, _MIX2, _BYTE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,8 +174,81 @@ def _blob(strings: dict[bytes, list], known: list[tuple]) -> bytes:
     )
 
 
-def _split(rows: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """Rows (id, fp, text) to the blobs of the buckets.
+class _Slice:
+    """The words of a run of rows, and its super-k-mers."""
+
+    def __init__(self, batch: pa.RecordBatch, window: int, gram: int):
+        texts = [b" ".join(t.split()) for t in raw_texts(batch, "text")]
+        self.some = [i for i, t in enumerate(texts) if t]
+        self.words = Words(b" ".join(texts[i] for i in self.some))
+        sizes = np.array([texts[i].count(b" ") + 1 for i in self.some], np.int64)
+        self.doc_of = np.repeat(np.arange(len(self.some)), sizes)
+        self.first_word = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.first, self.count, self.least = super_kmers(self.words, self.doc_of, window, gram)
+
+
+def _cells(least: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(least.copy()) % np.uint64(cells)).astype(np.int64)
+
+
+def _measured(rows: DataFrame, window: int, gram: int, cells: int) -> DataFrame:
+    """(cell, whole, alone): bytes of the strings of a cell, as they are and with each window by itself.
+
+    Strings that repeat within a slice count once, as they travel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole_of, alone_of = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                x = _Slice(batch, window, gram)
+                if not len(x.first):
+                    continue
+                h = window_hashes(x.words.hash, window)
+                name = mix(h[x.first] + x.count.astype(np.uint64)) + h[x.first + x.count - 1]
+                one = np.unique(name, return_index=True)[1]
+                first, count, cell = x.first[one], x.count[one], _cells(x.least[one], cells)
+                starts, ends = (np.concatenate([[0], np.cumsum(a)]) for a in (x.words.start, x.words.end))
+                last = first + count + window - 1
+                size = x.words.end[last - 1] - x.words.start[first] + 1
+                alone = ends[last] - ends[first + window - 1] - starts[first + count] + starts[first] + count
+                np.add.at(whole_of, cell, size)
+                np.add.at(alone_of, cell, alone)
+        held = np.flatnonzero(whole_of)
+        for at in range(0, len(held), 1 << 16):
+            part = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(whole_of[part]), pa.array(alone_of[part])], names=["cell", "whole", "alone"])
+
+    return rows.mapInArrow(run, "cell long, whole long, alone long").groupBy("cell").agg(F.sum("whole").alias("whole"), F.sum("alone").alias("alone"))
+
+
+def plan(rows: DataFrame, window: int, gram: int, buckets: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell its first bucket, and over how many buckets its windows are spread by their hashes."""
+    text = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = 1 << min(22, max(10, (text // CELL).bit_length()))
+    found = _measured(rows, window, gram, cells).toArrow()
+    whole, alone = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    at = found.column("cell").to_numpy()
+    whole[at], alone[at] = found.column("whole").to_numpy(), found.column("alone").to_numpy()
+    heavy = whole > bound
+    light = np.where(heavy, 0, whole)
+    # cells come one after the other, and a cell begins a bucket of its own where it would not fit
+    most = max(1, min(bound, -(-int(light.sum()) // buckets)))
+    base = np.zeros(cells, np.int64)
+    bucket = held = 0
+    for i in np.flatnonzero(light).tolist():
+        if held and held + light[i] > most:
+            bucket, held = bucket + 1, 0
+        base[i] = bucket
+        held += int(light[i])
+    # parts are uneven, so they aim at half the bound
+    spread = np.where(heavy, -(-2 * alone // bound), 1)
+    base[heavy] = bucket + 1 + np.cumsum(spread[heavy]) - spread[heavy]
+    return base.astype(np.int32), spread.astype(np.int32)
+
+
+def _split(rows: DataFrame, window: int, gram: int, base: np.ndarray, spread: np.ndarray) -> DataFrame:
+    """Rows (id, fp, text) to the blobs of the buckets that ``plan`` gave.
 
     Known spans take any bucket's blob: they only pass through.
     """
@@ -186,20 +269,24 @@ def _split(rows: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                texts = [b" ".join(t.split()) for t in raw_texts(batch, "text")]
                 keys = [(i or 0, fp, i is None) for i, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                some = [i for i, t in enumerate(texts) if t]
-                words = Words(b" ".join(texts[i] for i in some))
-                sizes = np.array([texts[i].count(b" ") + 1 for i in some], np.int64)
-                doc_of = np.repeat(np.arange(len(some)), sizes)
-                first_word = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                first, count, least = super_kmers(words, doc_of, window, gram)
-                if not len(first):
+                x = _Slice(batch, window, gram)
+                if not len(x.first):
                     continue
+                words, some = x.words, x.some
+                cell = _cells(x.least, len(base))
+                first, count, bucket, parts = x.first, x.count, base[cell].astype(np.int64), spread[cell].astype(np.int64)
+                if (parts > 1).any():
+                    times = np.where(parts > 1, count, 1)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    alone = np.repeat(parts > 1, times)
+                    first, bucket, parts = np.repeat(first, times) + nth, np.repeat(bucket, times), np.repeat(parts, times)
+                    count = np.where(alone, 1, np.repeat(count, times))
+                    bucket += (window_hashes(words.hash, window)[first] % parts.astype(np.uint64)).astype(np.int64)
                 a, b = words.start[first].tolist(), words.end[first + count + window - 2].tolist()
-                docs = doc_of[first]
-                places = (first - first_word[docs]).tolist()
-                bucket = (mix(least.copy()) % np.uint64(buckets)).tolist()
+                docs = x.doc_of[first]
+                places = (first - x.first_word[docs]).tolist()
+                bucket = bucket.tolist()
                 text = words.text
                 for s, e, n, d, p, k in zip(a, b, count.tolist(), docs.tolist(), places, bucket, strict=True):
                     string, place = text[s:e], (*keys[some[d]], p, p + n + window - 1)
@@ -208,11 +295,17 @@ def _split(rows: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
                     if seen is None:
                         into[string] = [n, place]
                         held += e - s + 200
+                        if held >= 2 * GATHER:
+                            yield from flush()
+                            held = 0
                         continue
                     if seen[1] is not None:
                         known.append(seen[1])
                         seen[1] = None
                     known.append(place)
+                    if len(known) > 400_000:
+                        yield from flush()
+                        held = 0
                 if held >= GATHER or len(known) > 200_000:
                     yield from flush()
                     held = 0
@@ -308,16 +401,17 @@ def _count(blobs: DataFrame, window: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, _SPANS)
 
 
-def mark(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def mark(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, bound: int = BOUND) -> DataFrame:
     """``docs`` with ``out`` added: array of (start, stop) word ranges to remove, by their starts.
 
-    ``buckets`` is the number of buckets; by default four times the shuffle
-    partitions of the session, at least 64.
+    There are about ``buckets`` buckets; by default four times the shuffle
+    partitions of the session, at least 64. There are more where one would
+    hold more than ``bound`` bytes.
     """
     spark = docs.sparkSession
     buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
-    spans = _count(_split(rows, window, gram, buckets), window)
+    spans = _count(_split(rows, window, gram, *plan(rows, window, gram, buckets, bound)), window)
     i, fp, own = fresh(docs, "id", "fp", "own")
     merged = spans.groupBy(F.col("id").alias(i), F.col("fp").alias(fp)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(out))
     left = docs.withColumn(own, F.xxhash64(F.col(text_col)))
@@ -335,10 +429,10 @@ def _apart(spans: list | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, bound: int = BOUND) -> DataFrame:
     """``docs`` with ``kept`` (the words left, joined by a space), ``n_words`` and ``n_removed`` added."""
     (spans_col,) = fresh(docs, "spans")
-    marked = mark(docs, spans_col, id_col, text_col, window, gram, buckets)
+    marked = mark(docs, spans_col, id_col, text_col, window, gram, buckets, bound)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:

@@ -4,10 +4,13 @@ import collections
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docquarry.llm import bpe, cws, html_text, lines, maxent, packing, substring, topk, toxicity
@@ -94,6 +97,27 @@ def test_substring_removal_matches_all_windows(spark):
         assert [got[i] for i in range(len(texts))] == slow_removal(texts, window), window
 
 
+def test_hot_minimiser_is_split_below_the_bound(spark):
+    """A phrase between differing words everywhere: one source's windows share a minimiser."""
+    rng = random.Random(9)
+    lines_ = [" ".join(f"v{rng.randrange(30)}" for _ in range(3)) for _ in range(50)]
+    texts = [" ".join(f"at level info {rng.choice(lines_)} w{rng.randrange(400)}" for _ in range(rng.randint(5, 30))) for _ in range(150)]
+    texts += texts[:5] + ["", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    window, gram, bound = 12, 3, 20_000
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove(docs, window=window, gram=gram, bound=bound).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_removal(texts, window)
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("fp"), "text")
+    base, spread = substring.plan(rows, window, gram, 64, bound)
+    assert spread.max() > 1
+    held = collections.Counter()
+    for r in substring._split(rows, window, gram, base, spread).collect():
+        raw = zstandard.ZstdDecompressor().decompress(bytes(r.blob))
+        n, once, more = struct.unpack_from("<III", raw)
+        held[r.bucket] += len(raw) - 12 - 5 * n - substring.KEY_SIZE * (once + more)
+    assert max(held.values()) <= bound
+
+
 def test_colliding_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "window_hashes", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
     strings = [b"a b c d", b"b c x y", b"p q r", b"p q r"]
