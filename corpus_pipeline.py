@@ -30,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(lines.remove_boilerplate(docs), docs)
+    """Copies of a page count once, since one of them is to stay for the next stage."""
+    return _like(lines.remove_boilerplate(docs, distinct=True), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

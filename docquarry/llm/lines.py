@@ -8,9 +8,13 @@ of them fit ``broadcast_bytes``, measured first, the join is a broadcast;
 otherwise pages are salted, so that a host with a third of all pages is spread
 over ``salts`` times as many keys.
 
+With ``distinct`` pages of one host with the same text (told by its 64-bit
+hash) count as one, among the pages with a line and among all, so that a
+document does not become boilerplate by being copied; otherwise each counts.
+
 Lines are what stands between newlines; lines of white space alone are never
 boilerplate. Null texts have no lines and stay null. Null hosts make one host
-of their own. Repeated rows are pages of their own. An empty table gives an
+of their own. Repeated rows are pages of their own, but with ``distinct``. An empty table gives an
 empty table. Columns keep their names; ``n_lines`` and ``n_removed`` replace
 columns of these names.
 """
@@ -29,13 +33,16 @@ SALTS = 32
 BROADCAST_BYTES = 16 << 20
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """(host, lines): each host's boilerplate lines, for hosts that have some."""
-    pages = docs.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("pages"))
+    page = [F.xxhash64(F.col(text_col)).alias("page")] if distinct else []
+    every = docs.select(F.col(host_col).alias("host"), *page)
+    found = docs.select(F.col(host_col).alias("host"), *page, F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line")).where(F.trim("line", F.lit(" \t\r")) != "")
+    if distinct:
+        every, found = every.distinct(), found.distinct()
+    pages = every.groupBy("host").agg(F.count("*").alias("pages"))
     lines = (
-        docs.select(F.col(host_col).alias("host"), F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line"))
-        .where(F.trim("line", F.lit(" \t\r")) != "")
-        .groupBy("host", "line")
+        found.groupBy("host", "line")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages)
     )
@@ -51,9 +58,10 @@ def remove_boilerplate(
     min_pages: int = MIN_PAGES,
     salts: int = SALTS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    distinct: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_removed`` added."""
-    found = cut(boilerplate(docs, host_col, text_col, ratio, min_pages))
+    found = cut(boilerplate(docs, host_col, text_col, ratio, min_pages, distinct))
     size = found.agg(F.sum(F.expr("aggregate(lines, 64L, (s, x) -> s + octet_length(x) + 16)"))).first()[0] or 0
     host, bad, of, salt, left = fresh(docs, "host", "bad", "of", "salt", "left")
     named = found.select(F.col("host").alias(host), F.col("lines").alias(bad))

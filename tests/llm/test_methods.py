@@ -153,6 +153,19 @@ def test_line_frequencies(spark):
     assert got == {i: t.replace("\nshared", "") if h == "h" else t for i, h, t in rows}
 
 
+def test_copied_document_is_no_boilerplate_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    copied = "a clean text\nof two lines"
+    rows = [(i, "h", copied + "\nfooter" * (i >= 3), 0) for i in range(6)] + [(10 + i, "h", f"own {i}\nfooter", 0) for i in range(74)] + [(100, None, None, 0), (101, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    want = {i: None if t is None else t.replace("\nfooter", "") for i, h, t, n in rows}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+    # op5 counts every row as a page, as its SQL does
+    assert {r.text for r in lines.remove_boilerplate(docs).where("doc_id < 6").collect()} == {""}
+
+
 def jaccard(a, b):
     keys = {*a, *b}
     return sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
