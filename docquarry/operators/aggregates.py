@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variant import as_double, as_double_or_null, kind
+from ..functions.variant import as_double, as_double_or_null, bound, kind
 from ..path import nodes
 
 
@@ -21,19 +21,22 @@ def sum_lax(found: Column) -> Column:
 
 def mean_strict(found: Column) -> Column:
     """The mean of a list of numbers; anything else in it fails the query. NULL for none."""
-    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda s, x: s + as_double(x)) / F.size(found))
+    return bound(found, lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda s, x: s + as_double(x)) / F.size(xs)))
 
 
 def summary(found: Column) -> Column:
     """count, sum, min, max and mean of a list's numbers."""
-    numbers = F.filter(F.transform(found, as_double_or_null), lambda x: x.isNotNull())
-    total = F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x)
-    n = F.size(numbers)
-    return F.struct(n.cast("long").alias("n"), total.alias("total"), F.array_min(numbers).alias("least"), F.array_max(numbers).alias("most"), F.when(n > 0, total / n).alias("mean"))
+    numbers = F.array_compact(F.transform(found, as_double_or_null))
+
+    def figures(xs: Column) -> Column:
+        total, n = F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), F.size(xs)
+        return F.struct(n.cast("long").alias("n"), total.alias("total"), F.array_min(xs).alias("least"), F.array_max(xs).alias("most"), F.when(n > 0, total / n).alias("mean"))
+
+    return bound(numbers, figures)
 
 
 def last(found: Column) -> Column:
-    return F.get(found, F.size(found) - 1)
+    return F.try_element_at(found, F.lit(-1))
 
 
 def distinct_text(found: Column) -> Column:

@@ -16,13 +16,14 @@ implementation that does none of these three.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.variant import MEMBERS, NODES, is_kind, kind, missing
+from ..functions.variant import MEMBERS, NODES, bound, is_kind, kind, member, missing
 
 DEPTH = 6
 #: Lowest and highest value of the integer types.
@@ -149,18 +150,17 @@ def _type_ok(name: str, v: Column) -> Column:
     if name in ("boolean", "string"):
         return is_kind(v, name)
     if name == "timestamp":
-        return is_kind(v, "string") & is_timestamp(v.try_cast("string"))
+        return is_kind(v, "string") & bound(v.try_cast("string"), is_timestamp)
     if name.startswith("float"):
         return is_kind(v, "number")
     low, high = RANGES[name]
-    d = v.try_cast("double")
-    return is_kind(v, "number") & F.coalesce((d == F.floor(d)) & (d >= low) & (d <= high), F.lit(False))
+    inside = bound(v.try_cast("double"), lambda d: (d >= low) & (d <= high) & (d == F.floor(d)))
+    return is_kind(v, "number") & F.coalesce(inside, F.lit(False))
 
 
 def errors(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False) -> Column:
     """The instance's errors, sorted by pointer and code; NULL for a NULL (absent) instance."""
-    found = _errors(v, schema, F.lit("#"), schema.definitions, depth, None, lenient)
-    return F.when(v.isNotNull(), F.array_sort(found))
+    return bound(v, lambda x: F.when(x.isNotNull(), F.array_sort(_errors(x, schema, F.lit("#"), schema.definitions, depth, None, lenient))))
 
 
 def valid(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False) -> Column:
@@ -199,38 +199,49 @@ def _form(v: Column, s: Schema, ptr: Column, defs: dict[str, Schema], depth: int
     if s.form == "properties":
         return F.when(is_kind(v, "object"), _properties(v, s, ptr, tag, below) if inside else F.array().cast(ERROR)).otherwise(_error(ptr, "properties", "expected object, got ", got))
     if s.form == "discriminator":
-        name = F.try_element_at(v.try_cast(MEMBERS), F.lit(s.name))
         at = F.concat(ptr, F.lit(f"/{s.name}"))
-        chosen = _error(at, "mapping", "tag not in the mapping: ", F.to_json(name))
-        if inside:
-            for k, sub in s.inner.items():
-                chosen = F.when(name.try_cast("string") == k, below(v, sub, ptr, s.name)).otherwise(chosen)
-        else:
-            chosen = _unless(F.coalesce(name.try_cast("string").isin(*s.inner), F.lit(False)), chosen)
-        return (
-            F.when(~is_kind(v, "object"), _error(ptr, "discriminator", "expected object, got ", got))
-            .when(name.isNull(), _error(ptr, "discriminator", f"tag {s.name} missing"))
-            .when(~is_kind(name, "string"), _error(at, "discriminator", "tag is no string but ", kind(name)))
-            .otherwise(chosen)
-        )
+
+        def tagged(name: Column) -> Column:
+            def chosen(text: Column) -> Column:
+                out = _error(at, "mapping", "tag not in the mapping: ", F.to_json(name))
+                if not inside:
+                    return _unless(F.coalesce(text.isin(*s.inner), F.lit(False)), out)
+                for k, sub in s.inner.items():
+                    out = F.when(text == k, below(v, sub, ptr, s.name)).otherwise(out)
+                return out
+
+            return (
+                F.when(name.isNull(), _error(ptr, "discriminator", f"tag {s.name} missing"))
+                .when(~is_kind(name, "string"), _error(at, "discriminator", "tag is no string but ", kind(name)))
+                .otherwise(bound(name.try_cast("string"), chosen))
+            )
+
+        return F.when(~is_kind(v, "object"), _error(ptr, "discriminator", "expected object, got ", got)).otherwise(bound(member(v, s.name), tagged))
     return F.array().cast(ERROR)
 
 
+def _if_there(below, sub: Schema, at: Column) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.isNotNull(), below(x, sub, at)).otherwise(F.array().cast(ERROR))
+
+
 def _properties(v: Column, s: Schema, ptr: Column, tag: str | None, below) -> Column:
-    members = v.try_cast(MEMBERS)
-    parts = []
-    names = F.map_keys(members)
-    if s.required:
-        lost = F.array_except(F.array(*map(F.lit, s.required)), names)
-        parts.append(F.transform(lost, lambda k: F.struct(ptr.alias("ptr"), F.lit("missing").alias("code"), F.concat(F.lit("missing required property: "), k).alias("message"))))
-    if not s.extra:
-        allowed = [*s.required, *s.optional, *([tag] if tag else [])]
-        more = F.array_except(names, F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>"))
-        parts.append(F.transform(more, lambda k: F.struct(F.concat(ptr, F.lit("/"), k).alias("ptr"), F.lit("additional").alias("code"), F.concat(F.lit("additional property: "), k).alias("message"))))
-    for k, sub in {**s.required, **s.optional}.items():
-        x = F.try_element_at(members, F.lit(k))
-        parts.append(F.when(x.isNotNull(), below(x, sub, F.concat(ptr, F.lit(f"/{k}")))).otherwise(F.array().cast(ERROR)))
-    return F.flatten(F.array(*parts)) if parts else F.array().cast(ERROR)
+    """The members become a map once; every test reads that."""
+
+    def checked(members: Column) -> Column:
+        parts = []
+        if s.required:
+            lost = F.filter(F.array(*map(F.lit, s.required)), lambda k: ~F.map_contains_key(members, k))
+            parts.append(F.transform(lost, lambda k: F.struct(ptr.alias("ptr"), F.lit("missing").alias("code"), F.concat(F.lit("missing required property: "), k).alias("message"))))
+        if not s.extra:
+            allowed = [*s.required, *s.optional, *([tag] if tag else [])]
+            more = F.filter(F.map_keys(members), lambda k: ~k.isin(*allowed)) if allowed else F.map_keys(members)
+            parts.append(F.transform(more, lambda k: F.struct(F.concat(ptr, F.lit("/"), k).alias("ptr"), F.lit("additional").alias("code"), F.concat(F.lit("additional property: "), k).alias("message"))))
+        for k, sub in {**s.required, **s.optional}.items():
+            at = F.concat(ptr, F.lit(f"/{k}"))
+            parts.append(bound(F.try_element_at(members, F.lit(k)), _if_there(below, sub, at)))
+        return F.flatten(F.array(*parts)) if parts else F.array().cast(ERROR)
+
+    return bound(v.try_cast(MEMBERS), checked)
 
 
 _SPARK = {"boolean": T.BooleanType(), "string": T.StringType(), "timestamp": T.TimestampType(), "float32": T.DoubleType(), "float64": T.DoubleType()} | {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.variant import NODES, as_boolean_or_null, as_double_or_null, as_string_or_null, canonical, children, element, member, missing
+from ..functions.variant import NODES, as_boolean_or_null, as_double_or_null, as_string_or_null, bound, canonical, children, element, member, missing
 from .syntax import parse
 
 #: Levels of nesting that a descent looks into; a deeper document fails the query.
@@ -30,24 +30,27 @@ def _slice(n: Column, start: int | None, stop: int | None, step: int | None) ->
     step = 1 if step is None else step
     if step == 0:
         return _none()
-    listed = F.coalesce(n.try_cast(NODES), _none())
-    size = F.size(listed)
-
-    def place(x: int) -> Column:
-        return F.lit(x) if x >= 0 else size + x
-
-    if step > 0:
-        lo = F.lit(0) if start is None else F.least(F.greatest(place(start), F.lit(0)), size)
-        hi = (size if stop is None else F.least(F.greatest(place(stop), F.lit(0)), size)) - 1
-        some = lo <= hi
-    else:
-        lo = size - 1 if start is None else F.greatest(F.least(place(start), size - 1), F.lit(0))
-        hi = F.lit(0) if stop is None else F.greatest(place(stop), F.lit(-1)) + 1
-        some = lo >= hi
-    some = some & (size > 0)
-    # a range that is empty must not reach sequence(), which refuses a wrong direction
-    span = F.sequence(F.when(some, lo).otherwise(0), F.when(some, hi).otherwise(0), F.lit(step))
-    return F.when(some, F.transform(span, lambda i: F.get(listed, i))).otherwise(_none())
+
+    def taken(listed: Column) -> Column:
+        size = F.size(listed)
+
+        def place(x: int) -> Column:
+            return F.lit(x) if x >= 0 else size + x
+
+        if step > 0:
+            lo = F.lit(0) if start is None else F.least(F.greatest(place(start), F.lit(0)), size)
+            hi = (size if stop is None else F.least(F.greatest(place(stop), F.lit(0)), size)) - 1
+            some = lo <= hi
+        else:
+            lo = size - 1 if start is None else F.greatest(F.least(place(start), size - 1), F.lit(0))
+            hi = F.lit(0) if stop is None else F.greatest(place(stop), F.lit(-1)) + 1
+            some = lo >= hi
+        some = some & (size > 0)
+        # a range that is empty must not reach sequence(), which refuses a wrong direction
+        span = F.sequence(F.when(some, lo).otherwise(0), F.when(some, hi).otherwise(0), F.lit(step))
+        return F.when(some, F.transform(span, lambda i: F.get(listed, i))).otherwise(_none())
+
+    return bound(F.coalesce(n.try_cast(NODES), _none()), taken)
 
 
 def _descend(found: Column, depth: int) -> Column:
@@ -61,7 +64,7 @@ def _descend(found: Column, depth: int) -> Column:
         return F.when(F.size(s["edge"]) > 0, F.raise_error(F.lit(f"document deeper than {depth} levels")).try_cast("string").cast("variant").isNull().cast("int")).otherwise(0)
 
     walked = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, deeper, lambda s: F.struct(s["done"].alias("done"), check(s).alias("deep")))
-    return F.when(walked["deep"] == 0, walked["done"]).otherwise(_none())
+    return bound(walked, lambda w: F.when(w["deep"] == 0, w["done"]).otherwise(_none()))
 
 
 def _operand(o: tuple, x: Column) -> Column:
@@ -74,38 +77,50 @@ def _ordered(op: str, a: Column, b: Column) -> Column:
     return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 
-def _typed(o: tuple, x: Column) -> dict[str, Column]:
-    """The operand as number, text and truth value, each NULL if it is of another kind, and whether it is null."""
-    if o[0] == "path":
-        v = _operand(o, x)
-        return {"null": missing(v), "number": as_double_or_null(v), "string": as_string_or_null(v), "boolean": as_boolean_or_null(v), "any": canonical(v)}
-    value = o[1]
-    out = {"null": F.lit(value is None), "any": canonical(F.lit(None).cast("variant")) if value is None else F.lit(None).cast("string")}
-    for name, kind in (("boolean", bool), ("number", float), ("string", str)):
-        own = type(value) is kind
-        out[name] = F.lit(value if own else None).cast({"number": "double"}.get(name, name))
-    return out
+_READ = {float: as_double_or_null, str: as_string_or_null, bool: as_boolean_or_null}
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _with_value(op: str, v: Column, value) -> Column:
+    """A node against a literal: only the reading of the literal's kind is needed."""
+    differ = op == "!="
+    if value is None:
+        return missing(v) if op == "==" else ~missing(v) if differ else F.lit(False)
+    if isinstance(value, bool) and op not in ("==", "!="):
+        return F.lit(False)
+    return F.coalesce(_ordered(op, _READ[type(value)](v), F.lit(value)), F.lit(differ))
+
+
+def _with_node(op: str, a: Column, b: Column) -> Column:
+    """Two nodes: numbers and texts by value, all else by equality alone; null and absent are one."""
+
+    def compared(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        if op in ("==", "!="):
+            equal = F.when(missing(a) | missing(b), missing(a) & missing(b)).otherwise(F.coalesce(as_double_or_null(a) == as_double_or_null(b), canonical(a) == canonical(b)))
+            return equal if op == "==" else ~equal
+        return F.coalesce(_ordered(op, as_double_or_null(a), as_double_or_null(b)), _ordered(op, as_string_or_null(a), as_string_or_null(b)), F.lit(False))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), compared)
+
+
+def _same_kind(op: str, a, b) -> bool:
+    """Two literals."""
+    if a is None or b is None or type(a) is not type(b):
+        return {"==": a is b, "!=": a is not b}.get(op, False)
+    if op in ("==", "!="):
+        return (a == b) == (op == "==")
+    return not isinstance(a, bool) and {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 
 def _compare(op: str, a: tuple, b: tuple, x: Column) -> Column:
-    left, right = _typed(a, x), _typed(b, x)
-    both = lambda k: left[k].isNotNull() & right[k].isNotNull()
-    equal, differ = op == "==", op == "!="
-    rest = F.lit(differ)
-    if a[0] == b[0] == "path":
-        same = left["any"].eqNullSafe(right["any"])
-        rest = same if equal else ~same if differ else F.lit(False)
-    if equal or differ:
-        nulls = (left["null"] & right["null"]) if equal else ~(left["null"] & right["null"])
-    else:
-        nulls = F.lit(False)
-    return (
-        F.when(left["null"] | right["null"], nulls)
-        .when(both("number"), _ordered(op, left["number"], right["number"]))
-        .when(both("string"), _ordered(op, left["string"], right["string"]))
-        .when(both("boolean"), _ordered(op, left["boolean"], right["boolean"]) if equal or differ else F.lit(False))
-        .otherwise(rest)
-    )
+    if a[0] == "value" == b[0]:
+        return F.lit(_same_kind(op, a[1], b[1]))
+    if a[0] == "value":
+        return _with_value(_TURNED.get(op, op), _operand(b, x), a[1])
+    if b[0] == "value":
+        return _with_value(op, _operand(a, x), b[1])
+    return _with_node(op, _operand(a, x), _operand(b, x))
 
 
 def test(t: tuple, x: Column) -> Column:
@@ -172,7 +187,9 @@ def nodes(v: Column, path: str, depth: int = DEPTH) -> Column:
         lead += 1
     for s in steps[:lead]:
         v = member(v, s[1]) if s[0] == "name" else element(v, s[1] if s[0] == "index" else -1)
-    found = F.when(v.isNotNull(), F.array(v)).otherwise(_none())
+    if lead == len(steps):
+        return F.array_compact(F.array(v))
+    found = F.array(v)  # steps find nothing in an absent node
     for s in steps[lead:]:
         found = _apply(s, found, depth)
     return found

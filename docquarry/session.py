@@ -51,6 +51,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where the input has fewer splits than cores.
+
+    Documents are dear to parse and to search, and a few small files would
+    leave that to as few tasks. Large inputs have splits enough and stay as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
