@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .variant import bound, is_kind, parse_tolerant
+
 
 def json_object(**members: Column) -> Column:
     """An object of the given members; NULL columns become JSON null."""
@@ -19,13 +21,41 @@ def json_array(*elements: Column) -> Column:
     return F.to_variant_object(F.array(*elements))
 
 
+def json_map(members: Column) -> Column:
+    """An object from a map of names to values of one type, or to variants."""
+    return F.to_variant_object(members)
+
+
+def json_number(text: Column) -> Column:
+    """A number as JSON spells it; NULL for any other text."""
+    v = parse_tolerant(text)
+    return bound(v, lambda x: F.when(is_kind(x, "number"), x))
+
+
 def last_wins(entries: Column) -> Column:
     """A map from an array of (key, value) structs; of entries with one key the last counts."""
-    later = lambda x, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"])
-    return F.map_from_entries(F.filter(entries, lambda x, i: ~later(x, i)))
+
+    def chosen(es: Column) -> Column:
+        order = F.array_sort(F.transform(es, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"))))
+        lasts = bound(order, lambda o: F.filter(o, lambda x, i: ~F.coalesce(F.get(o, i + 1)["key"] == x["key"], F.lit(False))))
+        return F.map_from_entries(F.transform(lasts, lambda x: F.get(es, x["i"])))
+
+    return bound(entries, chosen)
+
+
+def common(a: Column, b: Column) -> Column:
+    """The different values that both arrays have."""
+    return F.array_intersect(a, b)
+
+
+def power(base: Column, exponent: Column) -> Column:
+    """An integer power as long; a negative exponent, or a result beyond long, fails the query."""
+    refused = F.raise_error(F.lit("negative exponent")).cast("long")
+    return F.when(exponent < 0, refused).when(exponent == 0, F.lit(1).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(exponent, F.lit(1))), F.lit(1).cast("long"), lambda p, _: p * base.cast("long")))
 
 
 def has_duplicates(values: Column) -> Column:
+    """Whether a value comes more than once."""
     return F.size(F.array_distinct(values)) < F.size(values)
 
 

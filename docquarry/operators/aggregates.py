@@ -46,3 +46,8 @@ def distinct_text(found: Column) -> Column:
 
 def kind_counts(df: DataFrame, match: str = "match") -> DataFrame:
     return df.groupBy(kind(F.col(match)).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def top(matched: DataFrame, by: Column, k: int, *ties: str) -> DataFrame:
+    """The k rows with the greatest values of ``by``; ``ties`` decide among equals. NULLs come last."""
+    return matched.orderBy(by.desc_nulls_last(), *ties).limit(k)

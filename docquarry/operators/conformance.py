@@ -36,3 +36,10 @@ def report(found: DataFrame) -> DataFrame:
 def failures(found: DataFrame) -> DataFrame:
     """The names that broke an expectation, in order."""
     return found.where(((F.col("expected") == "accept") & ~F.col("accepted")) | ((F.col("expected") == "reject") & F.col("accepted"))).select("name", "expected").orderBy("name")
+
+
+def mismatches(cases: DataFrame, found: DataFrame, name: str = "name") -> DataFrame:
+    """(name, expected, actual) where a case's ``valid`` differs from what was found; a case without a finding differs too."""
+    a = cases.select(name, F.col("valid").alias("expected"))
+    b = found.select(name, F.col("valid").alias("actual"))
+    return a.join(b, name, "left").where(~F.col("expected").eqNullSafe(F.col("actual")))

@@ -2,8 +2,11 @@
 
 ``compile_schema`` reads a schema and raises SchemaError on every rule it
 breaks. ``errors`` gives the errors of an instance as an array column of
-(ptr, code, message), sorted; ``valid`` whether there are none; and
-``spark_type`` the Spark type that instances fit. References are put in place;
+(ptr, code, message, schema, via), sorted, where ``schema`` is the RFC's path
+of the broken rule and ``via`` the way to the value in words; ``verbose`` adds
+the value itself to the message. ``valid`` says whether there are none,
+``rendered`` writes errors as lines, with offsets where the text is given, and
+``spark_type`` is the Spark type that instances fit. References are put in place;
 those that recurse go ``depth`` levels deep, and a deeper instance fails the
 query rather than pass unseen.
 
@@ -23,6 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.positions import offsets
 from ..functions.variant import MEMBERS, NODES, bound, is_kind, kind, member, missing
 
 DEPTH = 6
@@ -32,7 +36,22 @@ TYPES = {"boolean", "string", "timestamp", "float32", "float64", *RANGES}
 FORMS = ("ref", "type", "enum", "elements", "properties", "values", "discriminator")
 _WITH = {"properties": {"properties", "optionalProperties", "additionalProperties"}, "discriminator": {"discriminator", "mapping"}}
 _SHARED = {"nullable", "metadata"}
-ERROR = "array<struct<ptr:string,code:string,message:string>>"
+ERROR = "array<struct<ptr:string,code:string,message:string,schema:string,via:string>>"
+# The catalogue of messages.
+UNKNOWN_TYPE = "unknown type: '%s'"
+EXPECTED_BOOLEAN = "expected boolean, got %s"
+EXPECTED_STRING = "expected string, got %s"
+EXPECTED_TIMESTAMP = "expected timestamp (string), got %s"
+EXPECTED_INTEGER = "expected integer, got float"
+EXPECTED_NUMERIC_TYPE = "expected %s, got %s"
+EXPECTED_ARRAY = "expected array, got %s"
+EXPECTED_OBJECT = "expected object, got %s"
+VALUE_NOT_IN_ENUM = "value '%s' not in enum: %s"
+EXPECTED_STRING_FOR_ENUM = "expected string for enum, got %s"
+MISSING_REQUIRED_PROPERTY = "missing required property: '%s'"
+ADDITIONAL_PROPERTY_NOT_ALLOWED = "additional property not allowed: '%s'"
+DISCRIMINATOR_MUST_BE_STRING = "discriminator '%s' must be a string"
+DISCRIMINATOR_VALUE_NOT_IN_MAPPING = "discriminator value '%s' not in mapping"
 #: RFC 3339, with a leap second.
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[Tt]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
@@ -101,7 +120,8 @@ def _compile(raw, names: set[str], root: bool, lenient: bool) -> Schema:
         _need(isinstance(raw["ref"], str) and raw["ref"] in names, "ref names a definition")
         out.name = raw["ref"]
     elif form == "type":
-        _need(isinstance(raw["type"], str) and raw["type"] in TYPES, "type is one of the types")
+        _need(isinstance(raw["type"], str), "type is a string")
+        _need(raw["type"] in TYPES, UNKNOWN_TYPE % raw["type"])
         out.name = raw["type"]
     elif form == "enum":
         e = raw["enum"]
@@ -130,13 +150,39 @@ def _compile(raw, names: set[str], root: bool, lenient: bool) -> Schema:
     return out
 
 
-def _error(ptr: Column, code: str, *message: Column | str) -> Column:
-    said = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
-    return F.array(F.struct(ptr.alias("ptr"), F.lit(code).alias("code"), said.alias("message")))
+@dataclass
+class _At:
+    """A place in the instance (pointer, and words) and in the schema, and how errors are told."""
+
+    ptr: Column
+    via: Column
+    schema: str
+    verbose: bool
+
+    def field(self, name: str | Column, schema: str) -> _At:
+        name = F.lit(name) if isinstance(name, str) else name
+        return _At(F.concat(self.ptr, F.lit("/"), name), F.concat(self.via, F.lit("→field:"), name), self.schema + schema, self.verbose)
+
+    def item(self, i: Column, schema: str) -> _At:
+        return _At(F.concat(self.ptr, F.lit("/"), i.cast("string")), F.concat(self.via, F.lit("→item:"), i.cast("string")), self.schema + schema, self.verbose)
+
+    def within(self, schema: str, whole: bool = False) -> _At:
+        return _At(self.ptr, self.via, schema if whole else self.schema + schema, self.verbose)
+
+    def error(self, code: str, v: Column, template: str, *args: Column | str, rule: str = "") -> Column:
+        """One error as a struct; ``v`` is the value that a verbose message shows."""
+        said = F.format_string(template, *[F.lit(a) if isinstance(a, str) else a for a in args]) if args else F.lit(template)
+        if self.verbose:
+            said = F.concat(said, F.lit(" (was: "), F.coalesce(F.to_json(v), F.lit("null")), F.lit(")"))
+        return F.struct(self.ptr.alias("ptr"), F.lit(code).alias("code"), said.alias("message"), F.lit(self.schema + rule).alias("schema"), self.via.alias("via"))
+
+
+def _none() -> Column:
+    return F.array().cast(ERROR)
 
 
 def _unless(ok: Column, error: Column) -> Column:
-    return F.when(ok, F.array().cast(ERROR)).otherwise(error)
+    return F.when(ok, _none()).otherwise(F.array(error))
 
 
 def is_timestamp(text: Column) -> Column:
@@ -158,88 +204,126 @@ def _type_ok(name: str, v: Column) -> Column:
     return is_kind(v, "number") & F.coalesce(inside, F.lit(False))
 
 
-def errors(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False) -> Column:
+def _type_error(name: str, v: Column, at: _At) -> Column:
+    got = kind(v)
+    if name == "boolean":
+        return at.error("type", v, EXPECTED_BOOLEAN, got, rule="/type")
+    if name == "string":
+        return at.error("type", v, EXPECTED_STRING, got, rule="/type")
+    if name == "timestamp":
+        return at.error("type", v, EXPECTED_TIMESTAMP, got, rule="/type")
+    if name.startswith("float"):
+        return at.error("type", v, EXPECTED_NUMERIC_TYPE, name, got, rule="/type")
+    broken = bound(v.try_cast("double"), lambda d: d != F.floor(d))
+    return (
+        F.when(got != "number", at.error("type", v, EXPECTED_NUMERIC_TYPE, name, got, rule="/type"))
+        .when(F.coalesce(broken, F.lit(False)), at.error("type", v, EXPECTED_INTEGER, rule="/type"))
+        .otherwise(at.error("type", v, EXPECTED_NUMERIC_TYPE, name, "out of range", rule="/type"))
+    )
+
+
+def errors(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False, verbose: bool = False) -> Column:
     """The instance's errors, sorted by pointer and code; NULL for a NULL (absent) instance."""
-    return bound(v, lambda x: F.when(x.isNotNull(), F.array_sort(_errors(x, schema, F.lit("#"), schema.definitions, depth, None, lenient))))
+    root = _At(F.lit("#"), F.lit("#"), "", verbose)
+    return bound(v, lambda x: F.when(x.isNotNull(), F.array_sort(_errors(x, schema, root, schema.definitions, depth, None, lenient))))
 
 
 def valid(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False) -> Column:
     return F.size(errors(v, schema, depth, lenient)) == 0
 
 
-def _errors(v: Column, s: Schema, ptr: Column, defs: dict[str, Schema], depth: int, tag: str | None, lenient: bool) -> Column:
-    found = _form(v, s, ptr, defs, depth, tag, lenient)
+def rendered(found: Column, text: Column | None = None) -> Column:
+    """Errors as lines with offset, pointer and way; the offset is -1 unless the text is given.
+
+    With the text, ``found`` must be a column of the table, since Spark hands
+    no expression with a lambda to Python. Only texts with errors are read again.
+    """
+
+    def line(e: Column, off: Column) -> Column:
+        return F.format_string("[off=%d ptr=%s via=%s] %s", off, e["ptr"], e["via"], e["message"])
+
+    if text is None:
+        return F.transform(found, lambda e: line(e, F.lit(-1)))
+    at = offsets(F.when(F.size(found) > 0, text), found["ptr"])
+    return F.zip_with(found, F.coalesce(at, F.array().cast("array<int>")), lambda e, off: line(e, F.coalesce(off, F.lit(-1))))
+
+
+def _errors(v: Column, s: Schema, at: _At, defs: dict[str, Schema], depth: int, tag: str | None, lenient: bool) -> Column:
+    found = _form(v, s, at, defs, depth, tag, lenient)
     if not s.nullable:
         return found
-    return F.when(missing(v), F.array().cast(ERROR)).otherwise(found)
+    return F.when(missing(v), _none()).otherwise(found)
 
 
-def _form(v: Column, s: Schema, ptr: Column, defs: dict[str, Schema], depth: int, tag: str | None, lenient: bool) -> Column:
-    below = lambda x, sub, at, t=None: _errors(x, sub, at, defs, depth, t, lenient)
+def _form(v: Column, s: Schema, at: _At, defs: dict[str, Schema], depth: int, tag: str | None, lenient: bool) -> Column:
+    below = lambda x, sub, place, t=None: _errors(x, sub, place, defs, depth, t, lenient)
     inside = not (lenient and s.nullable)
     got = kind(v)
     if s.form == "ref":
         if depth == 0:
-            said = F.concat(F.lit("instance deeper than the references go, at "), ptr)
-            return _error(ptr, "depth", F.raise_error(said).cast("string"))
+            said = F.concat(F.lit("instance deeper than the references go, at "), at.ptr)
+            return F.array(at.error("depth", v, "%s", F.raise_error(said).cast("string")))
         target = defs[s.name]
         if lenient and target.form == "properties":
             target = Schema("properties", target.nullable, required={}, optional={**target.required, **target.optional}, extra=True)
-        return _errors(v, target, ptr, defs, depth - 1, tag, lenient)
+        return _errors(v, target, at.within(f"/definitions/{s.name}", whole=True), defs, depth - 1, tag, lenient)
     if s.form == "type":
-        return _unless(_type_ok(s.name, v), _error(ptr, "type", f"expected {s.name}, got ", got))
+        return _unless(_type_ok(s.name, v), _type_error(s.name, v, at))
     if s.form == "enum":
-        return _unless(F.coalesce(F.when(is_kind(v, "string"), v.try_cast("string").isin(*s.values)), F.lit(False)), _error(ptr, "enum", "not one of the values: ", F.to_json(v)))
+        listed = f"[{', '.join(s.values)}]"
+
+        def known(text: Column) -> Column:
+            return _unless(text.isin(*s.values), at.error("enum", v, VALUE_NOT_IN_ENUM, text, listed, rule="/enum"))
+
+        return F.when(is_kind(v, "string"), bound(v.try_cast("string"), known)).otherwise(F.array(at.error("enum", v, EXPECTED_STRING_FOR_ENUM, got, rule="/enum")))
     if s.form == "elements":
-        each = F.flatten(F.transform(v.try_cast(NODES), lambda x, i: below(x, s.inner[""], F.concat(ptr, F.lit("/"), i.cast("string"))))) if inside else F.array().cast(ERROR)
-        return F.when(is_kind(v, "array"), each).otherwise(_error(ptr, "elements", "expected array, got ", got))
+        each = F.flatten(F.transform(v.try_cast(NODES), lambda x, i: below(x, s.inner[""], at.item(i, "/elements")))) if inside else _none()
+        return F.when(is_kind(v, "array"), each).otherwise(F.array(at.error("elements", v, EXPECTED_ARRAY, got, rule="/elements")))
+    not_object = lambda rule: F.array(at.error(s.form, v, EXPECTED_OBJECT, got, rule=rule))
     if s.form == "values":
-        each = F.flatten(F.transform(F.map_entries(v.try_cast(MEMBERS)), lambda e: below(e["value"], s.inner[""], F.concat(ptr, F.lit("/"), e["key"])))) if inside else F.array().cast(ERROR)
-        return F.when(is_kind(v, "object"), each).otherwise(_error(ptr, "values", "expected object, got ", got))
+        each = F.flatten(F.transform(F.map_entries(v.try_cast(MEMBERS)), lambda e: below(e["value"], s.inner[""], at.field(e["key"], "/values")))) if inside else _none()
+        return F.when(is_kind(v, "object"), each).otherwise(not_object("/values"))
     if s.form == "properties":
-        return F.when(is_kind(v, "object"), _properties(v, s, ptr, tag, below) if inside else F.array().cast(ERROR)).otherwise(_error(ptr, "properties", "expected object, got ", got))
+        return F.when(is_kind(v, "object"), _properties(v, s, at, tag, below) if inside else _none()).otherwise(not_object("/properties" if s.required or not s.optional else "/optionalProperties"))
     if s.form == "discriminator":
-        at = F.concat(ptr, F.lit(f"/{s.name}"))
+        named = at.field(s.name, "")
 
         def tagged(name: Column) -> Column:
             def chosen(text: Column) -> Column:
-                out = _error(at, "mapping", "tag not in the mapping: ", F.to_json(name))
+                out = F.array(named.error("mapping", name, DISCRIMINATOR_VALUE_NOT_IN_MAPPING, text, rule="/mapping"))
                 if not inside:
-                    return _unless(F.coalesce(text.isin(*s.inner), F.lit(False)), out)
+                    return F.when(F.coalesce(text.isin(*s.inner), F.lit(False)), _none()).otherwise(out)
                 for k, sub in s.inner.items():
-                    out = F.when(text == k, below(v, sub, ptr, s.name)).otherwise(out)
+                    out = F.when(text == k, below(v, sub, at.within(f"/mapping/{k}"), s.name)).otherwise(out)
                 return out
 
             return (
-                F.when(name.isNull(), _error(ptr, "discriminator", f"tag {s.name} missing"))
-                .when(~is_kind(name, "string"), _error(at, "discriminator", "tag is no string but ", kind(name)))
+                F.when(name.isNull(), F.array(at.error("discriminator", v, DISCRIMINATOR_MUST_BE_STRING, s.name, rule="/discriminator")))
+                .when(~is_kind(name, "string"), F.array(named.error("discriminator", name, DISCRIMINATOR_MUST_BE_STRING, s.name, rule="/discriminator")))
                 .otherwise(bound(name.try_cast("string"), chosen))
             )
 
-        return F.when(~is_kind(v, "object"), _error(ptr, "discriminator", "expected object, got ", got)).otherwise(bound(member(v, s.name), tagged))
-    return F.array().cast(ERROR)
+        return F.when(~is_kind(v, "object"), not_object("/discriminator")).otherwise(bound(member(v, s.name), tagged))
+    return _none()
 
 
-def _if_there(below, sub: Schema, at: Column) -> Callable[[Column], Column]:
-    return lambda x: F.when(x.isNotNull(), below(x, sub, at)).otherwise(F.array().cast(ERROR))
+def _if_there(below, sub: Schema, at: _At) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.isNotNull(), below(x, sub, at)).otherwise(_none())
 
 
-def _properties(v: Column, s: Schema, ptr: Column, tag: str | None, below) -> Column:
+def _properties(v: Column, s: Schema, at: _At, tag: str | None, below) -> Column:
     """The members become a map once; every test reads that."""
 
     def checked(members: Column) -> Column:
-        parts = []
-        if s.required:
-            lost = F.filter(F.array(*map(F.lit, s.required)), lambda k: ~F.map_contains_key(members, k))
-            parts.append(F.transform(lost, lambda k: F.struct(ptr.alias("ptr"), F.lit("missing").alias("code"), F.concat(F.lit("missing required property: "), k).alias("message"))))
+        parts = [_unless(F.map_contains_key(members, k), at.error("missing", v, MISSING_REQUIRED_PROPERTY, k, rule=f"/properties/{k}")) for k in s.required]
         if not s.extra:
             allowed = [*s.required, *s.optional, *([tag] if tag else [])]
             more = F.filter(F.map_keys(members), lambda k: ~k.isin(*allowed)) if allowed else F.map_keys(members)
-            parts.append(F.transform(more, lambda k: F.struct(F.concat(ptr, F.lit("/"), k).alias("ptr"), F.lit("additional").alias("code"), F.concat(F.lit("additional property: "), k).alias("message"))))
+            parts.append(F.transform(more, lambda k: at.field(k, "").error("additional", members[k], ADDITIONAL_PROPERTY_NOT_ALLOWED, k)))
         for k, sub in {**s.required, **s.optional}.items():
-            at = F.concat(ptr, F.lit(f"/{k}"))
-            parts.append(bound(F.try_element_at(members, F.lit(k)), _if_there(below, sub, at)))
-        return F.flatten(F.array(*parts)) if parts else F.array().cast(ERROR)
+            place = at.field(k, f"/{'properties' if k in s.required else 'optionalProperties'}/{k}")
+            parts.append(bound(F.try_element_at(members, F.lit(k)), _if_there(below, sub, place)))
+        return F.flatten(F.array(*parts)) if parts else _none()
 
     return bound(v.try_cast(MEMBERS), checked)
 

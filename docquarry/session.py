@@ -64,11 +64,15 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only where none is set (local tests) a temporary one is used.
+    Only in local mode may it be unset; then a temporary one is used. On a
+    cluster a temporary folder would be another on each machine.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docquarry-checkpoint-"))
     return sc.getCheckpointDir()
 
 

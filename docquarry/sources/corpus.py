@@ -22,6 +22,14 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
+def wanted_files(spark: SparkSession, folder: str, wanted: DataFrame, name: str = "name") -> DataFrame:
+    """The rows of ``wanted`` with ``content`` of the file of that name in the folder, or ``error`` where there is none."""
+    there = files(spark, folder, "*").select(F.element_at(F.split("path", "/"), -1).alias("__file"), "content")
+    joined = wanted.join(there, F.col(name) == F.col("__file"), "left")
+    missing = F.when(F.col("__file").isNull(), F.concat(F.lit("LOCAL_FILE_NOT_FOUND: "), F.col(name)))
+    return joined.withColumn("error", missing).drop("__file")
+
+
 def zip_members(archives: DataFrame, suffix: str = ".json") -> DataFrame:
     """(path, content) of the members of zip archives (path, content); a broken archive has none."""
 

@@ -27,3 +27,16 @@ def windowed_sums(events: DataFrame, time: str, text: str, path: str, window: st
     """(start, n, total) per tumbling window of a number in the documents; rows later than ``late`` are dropped."""
     marked = events.withWatermark(time, late).withColumn("x", as_double_or_null(first(parse_tolerant(F.col(text)), path)))
     return marked.groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n"), F.sum("x").alias("total")).select(F.col("w.start").alias("start"), "n", "total")
+
+
+def run_to_table(stream: DataFrame, rows: str, state: str) -> None:
+    """Run until all that is there now has been read; the result's last form is in Parquet at ``rows``, its progress at ``state``.
+
+    Every batch overwrites the rows with the complete result, from the tasks
+    that hold it, so a batch that is run again after a loss changes nothing.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(rows)
+
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

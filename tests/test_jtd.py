@@ -15,21 +15,22 @@ def errors(spark, schema, texts, **kw):
     return [[(e.ptr, e.code) for e in r.e] for r in df.select(jtd.errors(F.col("v"), compiled, **kw).alias("e")).collect()]
 
 
-PERSON = {"properties": {"name": {"type": "string"}, "age": {"type": "int32"}}}
-LIST = {"definitions": {"node": {"properties": {"v": {"type": "float64"}}, "optionalProperties": {"next": {"ref": "node", "nullable": True}}}}, "ref": "node"}
+ITEM = {"properties": {"part": {"type": "uint32"}, "flag": {"enum": ["A", "N", "R"]}}}
+#: A place lies in a bigger one.
+PLACE = {"definitions": {"place": {"properties": {"key": {"type": "int16"}}, "optionalProperties": {"within": {"ref": "place", "nullable": True}}}}, "ref": "place"}
 
 
 @pytest.mark.parametrize(
     ("schema", "text", "want"),
     [
-        (PERSON, '{"name":"a","age":3.0}', []), (PERSON, '{"name":1,"age":"x"}', [("#/age", "type"), ("#/name", "type")]), (PERSON, '{"name":"a"}', [("#", "missing")]),
-        (PERSON, '{"name":"a","age":1,"z":2}', [("#/z", "additional")]), (PERSON, "[]", [("#", "properties")]), (PERSON, "null", [("#", "properties")]),
+        (ITEM, '{"part":3.0,"flag":"R"}', []), (ITEM, '{"part":-1,"flag":null}', [("#/flag", "enum"), ("#/part", "type")]), (ITEM, '{"flag":"A"}', [("#", "missing")]),
+        (ITEM, '{"part":0,"flag":"N","qty":2}', [("#/qty", "additional")]), (ITEM, "[]", [("#", "properties")]), (ITEM, "null", [("#", "properties")]),
         ({"elements": {"type": "string"}}, '["a",1,null,[]]', [("#/1", "type"), ("#/2", "type"), ("#/3", "type")]), ({"elements": {}}, "{}", [("#", "elements")]),
         ({"values": {"type": "boolean"}}, '{"a":true,"b":0}', [("#/b", "type")]), ({"values": {}}, "[]", [("#", "values")]),
         ({"enum": ["x", "y"]}, '"z"', [("#", "enum")]), ({"enum": ["x", "y"]}, '"y"', []), ({"enum": ["1"]}, "1", [("#", "enum")]),
         ({"nullable": True, "elements": {"type": "int8"}}, "[1,128]", [("#/1", "type")]), ({"nullable": True, "type": "int8"}, "null", []), ({}, "[1,{}]", []),
-        (LIST, '{"v":1,"next":{"v":2,"next":null}}', []), (LIST, '{"v":1,"next":{"v":"x"}}', [("#/next/v", "type")]), (LIST, '{"next":{"v":1}}', [("#", "missing")]),
-        ({"definitions": {"t": {"elements": {"ref": "t"}}}, "ref": "t"}, "[[],[[1]]]", [("#/1/0/0", "elements")]),
+        (PLACE, '{"key":1,"within":{"key":2,"within":null}}', []), (PLACE, '{"key":1,"within":{"key":40000}}', [("#/within/key", "type")]), (PLACE, '{"within":{"key":1}}', [("#", "missing")]),
+        ({"definitions": {"bag": {"values": {"ref": "bag"}}}, "ref": "bag"}, '{"a":{},"b":{"c":{"d":[]}}}', [("#/b/c/d", "values")]),
     ],
 )
 def test_forms(spark, schema, text, want):
@@ -71,18 +72,18 @@ def test_bad_schemas(schema):
 
 def test_lenient_differs_where_stated(spark):
     assert errors(spark, {"elements": {"type": "string"}, "nullable": True}, ["[1]"], lenient=True) == [[]]
-    ref = {"definitions": {"p": PERSON}, "ref": "p"}
-    assert errors(spark, ref, ['{"name":"a","z":1}'], lenient=True) == [[]]
-    assert errors(spark, ref, ['{"name":"a","z":1}']) == [[("#", "missing"), ("#/z", "additional")]]
+    ref = {"definitions": {"i": ITEM}, "ref": "i"}
+    assert errors(spark, ref, ['{"part":1,"qty":1}'], lenient=True) == [[]]
+    assert errors(spark, ref, ['{"part":1,"qty":1}']) == [[("#", "missing"), ("#/qty", "additional")]]
     assert jtd.compile_schema({"elements": {}, "x": 1}, lenient=True).form == "elements"
 
 
 def test_recursion_is_bounded_loudly(spark):
-    deep = '{"v":1}'
+    deep = '{"key":1}'
     for _ in range(8):
-        deep = f'{{"v":1,"next":{deep}}}'
+        deep = f'{{"key":1,"within":{deep}}}'
     with pytest.raises(PySparkException):
-        errors(spark, LIST, [deep], depth=4)
+        errors(spark, PLACE, [deep], depth=4)
 
 
 def test_absent_instance_has_null_errors(spark):
@@ -93,7 +94,23 @@ def test_absent_instance_has_null_errors(spark):
 def test_spark_types():
     s = jtd.compile_schema({"properties": {"a": {"type": "uint32"}, "b": {"elements": {"type": "timestamp"}}, "c": {"values": {"type": "int8"}}}, "optionalProperties": {"d": {"enum": ["x"]}, "e": {}}})
     assert jtd.spark_type(s).simpleString() == "struct<a:bigint,b:array<timestamp>,c:map<string,tinyint>,d:string,e:variant>"
-    assert jtd.spark_type(jtd.compile_schema(LIST)).simpleString() == "struct<v:double,next:variant>"
+    assert jtd.spark_type(jtd.compile_schema(PLACE)).simpleString() == "struct<key:smallint,within:variant>"
+
+
+def test_messages_and_schema_paths(spark):
+    schema = {"properties": {"xs": {"elements": {"type": "int8"}}}, "optionalProperties": {"t": {"discriminator": "k", "mapping": {"a": {"properties": {}}}}}}
+    rows = spark.createDataFrame([('{"xs":[1,1.5,"x",999],"t":{"k":"b"}}',), ('{"t":{}}',), ('{"xs":[],"t":{"k":1}}',)], "t string").select(parse_tolerant(F.col("t")).alias("v"))
+    got = rows.select(jtd.errors(F.col("v"), jtd.compile_schema(schema), verbose=True).alias("e")).collect()
+    assert [[(e.ptr, e.schema, e.message) for e in r.e] for r in got] == [
+        [
+            ("#/t/k", "/optionalProperties/t/mapping", "discriminator value 'b' not in mapping (was: \"b\")"),
+            ("#/xs/1", "/properties/xs/elements/type", "expected integer, got float (was: 1.5)"),
+            ("#/xs/2", "/properties/xs/elements/type", "expected int8, got string (was: \"x\")"),
+            ("#/xs/3", "/properties/xs/elements/type", "expected int8, got out of range (was: 999)"),
+        ],
+        [("#", "/properties/xs", "missing required property: 'xs' (was: {\"t\":{}})"), ("#/t", "/optionalProperties/t/discriminator", "discriminator 'k' must be a string (was: {})")],
+        [("#/t/k", "/optionalProperties/t/discriminator", "discriminator 'k' must be a string (was: 1)")],
+    ]
 
 
 def test_random_schemas_accept_what_they_make_and_refuse_mutations(spark):
