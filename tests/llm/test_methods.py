@@ -202,25 +202,52 @@ def test_language_model_scores(spark):
         assert abs(r.base_score - want) < 1e-6 * max(1, -want)
         if r.held_out:
             base, model = base + r.base_score, model + r.score
-    assert model > 0.95 * base
+    assert model > 0.85 * base  # 0.82 when written
 
 
 def test_language_model_probabilities_add_up(spark):
-    """Over all words and the one for unseen words, in the context of a text's beginning."""
+    """Over all words of training, the end, and the one token for unseen words, in several contexts."""
     rng = random.Random(7)
-    words = ["aa", "bb", "cc", "dd", "ee", "ff"] + [f"rare{i}" for i in range(30)]
-    texts = [" ".join(rng.choice(words[:6]) if rng.random() < 0.8 else rng.choice(words) for _ in range(12)) for _ in range(80)]
-    train = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
-    seen = sorted({w for _, t in train for w in t.split()})
-    free = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 5 == 1]
-    asked = [*seen, "never-seen", ""]
-    rows = train + list(zip(free, asked, strict=False))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    # log P(word, end) - the end's share is shared out by scoring it alone after each word
-    got = {r.doc_id: r.score for r in maxent.score(df, head=10).collect()}
-    # the probability of all texts of one word is that of going on after the first place
-    first = sum(10 ** got[i] for i, _ in zip(free, asked, strict=False))
-    assert 0 < first <= 1 + 1e-6
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"] + [f"rare{i}" for i in range(300)] + [f"{x}{y}ing" for x in "abcdefgh" for y in "xyz"]
+    texts = [" ".join(rng.choice(words[:6]) if rng.random() < 0.6 else rng.choice(words) for _ in range(12)) for _ in range(80)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("out", maxent.held_out("id"))
+    chunks = maxent.stored(maxent.coded(rows))
+    counts = maxent.stored(maxent.counted(chunks))
+    want = collections.Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.encode().split(), maxent.END])
+    got = {bytes(r.word): r.c for r in counts.where("first and c > 0").collect()}
+    assert got == want
+    model = maxent.fit(maxent.stored(maxent.with_counts(chunks, counts)), counts)
+    assert any(abs(w).max() > 0 for w in model.weights)
+    seen = sorted(set(want) - {maxent.END})
+    listed = [*seen, b"never-seen", maxent.END]
+    seen_by = np.array([want.get(w, 0) for w in listed])
+    for before in ([], ["aa"], ["rare1", "bb"], ["never-seen", "cc", "dd"], ["ee", "ff", "aa", "bb"]):
+        lead = [listed.index(w.encode()) for w in before]
+        codes = np.array([x for w in range(len(listed)) for x in ([*lead, w] if listed[w] == maxent.END else [*lead, w, len(listed) - 1])])
+        sizes = np.array([len(lead) + 1 + (w != maxent.END) for w in listed])
+        chunk = maxent.Chunk(listed, seen_by, codes, sizes, np.zeros(len(sizes), bool))
+        p = 10 ** model.log10(chunk)[np.cumsum(sizes) - sizes + len(lead)]
+        assert abs(p.sum() - 1) < 1e-6
+        assert (p > 0).all()
+
+
+def test_language_model_tree_sums_all_parts(spark):
+    rows = [(t, 0, b, np.full(4, t + b, "<f4").tobytes(), np.full(2, t, "<i8").tobytes()) for t in range(70) for b in (0, 8)]
+    got = {r.block: r for r in maxent._summed(spark.createDataFrame(rows, maxent._PARTS).repartition(5), 70).collect()}
+    assert len(got) == 2
+    for b in (0, 8):
+        assert np.frombuffer(got[b].moved, "<f4").tolist() == [sum(t + b for t in range(70))] * 4
+        assert np.frombuffer(got[b].met, "<i8").tolist() == [sum(range(70))] * 2
+
+
+def test_language_model_uses_words_in_context(spark):
+    """Words that follow each other are likelier than their counts say, within a class too."""
+    pairs = [(f"w{i}", f"v{i}") for i in range(8)]
+    rng = random.Random(2)
+    texts = [" ".join(x for _ in range(30) for x in rng.choice(pairs)) for _ in range(300)]
+    rows = maxent.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    base, model = (sum(getattr(r, c) for r in rows if r.held_out) for c in ("base_score", "score"))
+    assert model > 0.7 * base  # half of all words are certain
 
 
 def test_top_k_matches_brute_force(spark):
@@ -239,6 +266,42 @@ def test_top_k_matches_brute_force(spark):
         assert got == sorted(want)
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Several groups of blocks and of queries, a block of equal vectors among them, ids that repeat, and vectors of unequal length."""
+    for name, n in (("BLOCK", 16), ("QUERIES", 4), ("GROUP", 2), ("SUB", 3)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(9)
+    x = [rng.normal(size=rng.choice([7, 8])).tolist() for _ in range(300)]
+    x[100:180] = [x[3]] * 80
+    ids = [i if i < 290 else i - 5 for i in range(300)]
+    df = spark.createDataFrame(list(zip(ids, x, strict=True)), "vec_id long, embedding array<double>").repartition(4, "vec_id")
+    q = np.array([[math.floor(256 * y) for y in v] + [0] * (8 - len(v)) for v in x])
+    want = []
+    for i in range(0, 291, 10):
+        best = {}
+        for j in range(300):
+            if ids[j] != i:
+                best[ids[j]] = max(best.get(ids[j], -(1 << 60)), int(q[j] @ q[ids.index(i)]))
+        want += [(i, n + 1, j, s) for n, (j, s) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, every=10).collect())
+    assert got == sorted(want)
+
+
+def test_top_k_resolves_few_places():
+    """With a cutoff, only places that some list returns are summed, and they hold the answer."""
+    rng = np.random.default_rng(10)
+    v = np.floor(256 * rng.normal(size=(4000, 64))).astype(np.int64)
+    q, ids, q_ids = v[::80], np.arange(4000), np.arange(0, 4000, 80)
+    scores = np.where(q_ids[:, None] == ids[None], np.iinfo(np.int64).min, q @ v.T)
+    _, _, _, started = topk.meeting(q, v[:800], q_ids, ids[:800], None, 4, 5)
+    sample = np.sort(scores[:, :800], axis=1)[:, -5].astype(float)
+    a, b, s, resolved = topk.meeting(q, v, q_ids, ids, sample, 4, 5)
+    assert started < 0.05 * len(q) * 800
+    assert resolved < 0.25 * len(q) * 4000
+    for i in range(len(q)):
+        assert s[a == i].tolist() == np.sort(scores[i])[::-1][:5].tolist()
+
+
 def test_article_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice">ok?</div>
     <article><h1>Head &amp; line</h1><p><b>First   para<br>graph.<p>Second <a href=x>linked</a> one.</p><script>var t="</p>";</script><ul><li>one<li>two</ul>
