@@ -7,6 +7,13 @@ lowest-rank merge. A merge changes three leaves, and each change climbs one
 path to the root. Words of similar length stand in one matrix, so that a numpy
 step makes one merge in every word of the matrix at once.
 
+A word of more than ``LONG`` bytes has a tree of its own, so that a text
+without spaces takes time in proportion to its length times the logarithm.
+
+How words are found in text other than ASCII (classes of letters, lower case,
+composition) depends on a version of Unicode; there the tokenizer library's own
+normaliser and splitter decide, once for each distinct chunk between spaces.
+
 A task keeps the ids of the words it has met (``MEMO`` of them at most), since
 words repeat; memory stays bounded whatever the input.
 
@@ -18,7 +25,6 @@ has the name of an output column is replaced by it, all others stay.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .common import append_columns, slices, texts
 
@@ -35,6 +42,8 @@ MEMO = 250_000
 SLICE = 2 << 20
 #: Symbols in one matrix at most.
 MATRIX = 1 << 19
+#: Bytes of a word from which on it has a tree of its own.
+LONG = 2048
 #: White space of Unicode, as the regular expressions of tokenizer files have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -71,13 +80,16 @@ class SegmentTreeBpe:
         self.keys = keys[order]
         self.ranks = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
         self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        self.merged_list = self.merged.tolist()
+        self.table: dict[int, int] | None = None
         letters = byte_letters()
         self.inner = np.array([self.vocab[x] for x in letters], np.int64)
         self.last = np.array([self.vocab[x + self.suffix] for x in letters], np.int64)
-        kinds = [p.get("type") for p in spec["normalizer"]["normalizers"]] if spec["normalizer"] else []
-        self.compose, self.lower = "NFC" in kinds, "Lowercase" in kinds
+        self.lower = "Lowercase" in [p.get("type") for p in spec["normalizer"]["normalizers"]] if spec["normalizer"] else False
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", SPACE))
+        self.library = Tokenizer.from_file(path)
+        self.bytes = {ord(x): b for b, x in enumerate(letters)}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
@@ -90,6 +102,9 @@ class SegmentTreeBpe:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
         by_width: dict[int, list[int]] = {}
         for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self._merge_long(w)
+                continue
             by_width.setdefault(1 << (len(w) - 1).bit_length(), []).append(i)
         for width, members in by_width.items():
             step = max(1, MATRIX // width)
@@ -152,6 +167,56 @@ class SegmentTreeBpe:
         kept = symbols >= 0
         return np.split(symbols[kept].astype(np.uint32), np.cumsum(kept.sum(1))[:-1])
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word, by a tree over its pairs alone."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        find, wide, merged, none = self.table.get, self.width, self.merged_list, len(self.merged_list)
+        n = len(word)
+        width = 1 << (n - 1).bit_length()
+        first = self.inner[np.frombuffer(word, np.uint8)]
+        first[-1] = self.last[word[-1]]
+        leaf = np.full(width, none * width, np.int64)
+        ranks = self.pair_ranks(first[:-1], first[1:], none)
+        leaf[: n - 1] = np.where(ranks < none, ranks * width + np.arange(n - 1), none * width)
+        levels = [leaf]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = np.concatenate([np.zeros(1, np.int64), *levels[::-1]]).tolist()
+        symbol = first.tolist()
+        after, before = [*range(1, n), n], [*range(-1, n - 1)]
+        empty = none * width
+
+        def put(i: int, value: int) -> None:
+            i += width
+            tree[i] = value
+            i >>= 1
+            while i:
+                a, b = tree[2 * i], tree[2 * i + 1]
+                a = a if a < b else b
+                if tree[i] == a:
+                    return
+                tree[i] = a
+                i >>= 1
+
+        def rank(i: int, j: int) -> int:
+            r = find(symbol[i] * wide + symbol[j])
+            return empty if r is None else r * width + i
+
+        while tree[1] < empty:
+            r, i = divmod(tree[1], width)
+            gone = after[i]
+            then = after[gone]
+            symbol[i], symbol[gone] = merged[r], -1
+            after[i] = then
+            put(gone, empty)
+            if then < n:
+                before[then] = i
+            put(i, rank(i, then) if then < n else empty)
+            if before[i] >= 0:
+                put(before[i], rank(before[i], i))
+        return np.array([x for x in symbol if x >= 0], np.uint32)
+
     def pieces(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk of text as UTF-8, and the ids of special tokens between them."""
         out: list[bytes | int] = []
@@ -159,11 +224,11 @@ class SegmentTreeBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if self.compose and not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            if self.lower:
-                part = part.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-            out += [w.encode() for w in self.words.findall(part)]
+            if part.isascii():
+                out += [w.encode() for w in self.words.findall(part.lower() if self.lower else part)]
+            else:
+                split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part) if self.library.normalizer else part)
+                out += [bytes(map(self.bytes.__getitem__, map(ord, w))) for w, _ in split]
         return out
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
