@@ -2,7 +2,7 @@
 
 Folding lower-cases, replaces homoglyphs of other scripts by Latin letters,
 drops marks that hide letters, and reads digits and signs inside words as the
-letters they stand for. The lexicon has whole words and beginnings of words,
+letters they stand for; words that end in such signs are read both ways. The lexicon has whole words and beginnings of words,
 each with the logarithm of how much likelier a toxic text is to have it. At
 each place in a text the heaviest entry counts, unless an exception phrase
 covers it; the sum is normalised by a power of the text's length, and the
@@ -13,7 +13,8 @@ most (a documented bound: which rows is decided by a hash of the id). Of rows
 that look like copies of each other one counts, so that a copied text does not
 make its words toxic. Scoring covers every whole text.
 
-Null and empty texts have no matches and score 0. Labels that are null are not
+Null and empty texts have no matches and score 0; very long ones are folded
+whole, in time in proportion to their length. Terms of equal gain are all taken. Labels that are null are not
 used; without any toxic label nothing matches. Repeated rows score alike; an
 empty table gives an empty table; columns named like an output are replaced.
 """
@@ -38,7 +39,6 @@ from ..session import cut
 from .common import append_columns, slices, texts
 
 MAX_ROWS = 12_000
-MAX_ENTRIES = 20_000
 CUTOFF_SCORE = 0.7
 #: A text's sum is divided by (1 + words / LENGTH) to the power SOFTEN.
 LENGTH, SOFTEN = 256, 0.5
@@ -48,22 +48,30 @@ SLICE = 2 << 20
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = str.maketrans("асеорхукіјѕԁԛԝһɡαοερτυνικ", "aceopxykijsdqwhgaoeptuvik")
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_LETTERS = str.maketrans(SIGNS)
+#: Letters before a sign that belong to its word; no insult is longer.
+LONGEST = 64
 #: Harmless phrases that hold words an insult also has.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "pond scum", "stupid question", "sore loser")
 
 _HIDDEN = re.compile("[­​-‏⁠︀-️﻿]")
 _SIGN = re.compile(r"(?:(?<=[^\W_])|(?<=[@$!])|(?<!\S)(?!!))[013457@$!](?=[013457@$!]*[^\W\d_])")
+#: Signs at the end of a word, that may stand for letters or for themselves.
+_TAIL = re.compile(r"(?<=[^\W\d_])[013457@$]+(?![\w@$])")
+_HEAD = re.compile(r"[\w@$]*$")
 _GAP = re.compile(r"[\W_]+")
 
 
 def fold(text: str) -> str:
-    """The words of the text after folding, each between single spaces."""
+    """The words of the text after folding, each between single spaces; behind them the other readings of words that end in signs."""
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower().translate(HOMOGLYPHS)
     else:
         text = text.lower()
     text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return f" {_GAP.sub(' ', text).strip()} "
+    plain = _GAP.sub(" ", text).strip()
+    others = [_HEAD.search(text, max(0, m.start() - LONGEST), m.start())[0] + m[0].translate(_LETTERS) for m in _TAIL.finditer(text)]
+    return f" {' '.join([plain, *others])} " if others else f" {plain} "
 
 
 @dataclass
@@ -138,10 +146,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return cut(keyed.dropDuplicates(["likeness", "toxic"]).select("folded", "toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexicon:
     """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    What reaches the driver is bounded by ``max_entries`` and 256 bins.
+    What reaches the driver is bounded by the terms of ``max_rows`` texts that
+    pass the test of gain, and by 256 bins.
     """
     rows = training_rows(docs, labels, max_rows)
     toxic, clean = rows.agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("toxic") <= 0).cast("long")), F.lit(0))).first()
@@ -166,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entrie
     weight = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
     scored = cut(terms.withColumn("gain", gain).withColumn("weight", weight))
     least = max(15.0, 2 * math.log(max(1, scored.count())))
-    chosen = scored.where((F.col("gain") >= least) & (F.col("weight") >= 2.0)).orderBy(F.desc("gain"), "term").limit(max_entries).select("term", "weight").collect()
+    chosen = scored.where((F.col("gain") >= least) & (F.col("weight") >= 2.0)).select("term", "weight").collect()
     lexicon = Lexicon({r.term: float(r.weight) for r in chosen})
     lexicon.cutoff = _best_cutoff(rows, lexicon)
     return lexicon
