@@ -13,7 +13,9 @@ asides, forms, scripts and styles, or under a class, id or role that says
 advert, notice, sidebar, menu or comments, is no candidate.
 
 Null and empty pages give the empty text. Unclosed, crossing or cut-off tags
-and references are read as browsers do. Repeated rows give the same text; an
+and references are read as browsers do; deep, wide and very long pages take
+time in proportion to their length. Paths of equal ratios are all content or
+none. Repeated rows give the same text; an
 empty table gives an empty table; columns named like an output are replaced.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,7 +74,7 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style
 _CLASS = re.compile(r"""(?:^|[\s"'])class\s*=\s*["']?\s*([\w-]+)""", re.I)
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 _STATED = re.compile(r"(?<![\w-])(?:with|without|has|no|non)[-_][\w-]+", re.I)
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？¿¡]")
 
 
@@ -94,29 +97,81 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
+class Paths:
+    """Tag paths as numbers: each has the number of the path above it, its last step, and the topmost article or main element on it (-1: none). The root is 0."""
+
+    def __init__(self) -> None:
+        self.above, self.step, self.article = [-1], [""], [-1]
+        self.below: dict[tuple[int, str], int] = {}
+
+    def down(self, path: int, step: str) -> int:
+        found = self.below.get((path, step))
+        if found is None:
+            found = self.below[path, step] = len(self.above)
+            self.above.append(path)
+            self.step.append(step)
+            top = self.article[path]
+            self.article.append(top if top >= 0 else found if step.partition(".")[0] in ("article", "main") else -1)
+        return found
+
+    def container(self, path: int) -> int:
+        """The path of the element whose blocks a content path speaks for; itself if that is the body or the root."""
+        if self.article[path] >= 0:
+            return self.article[path]
+        above = self.above[path]
+        return above if above > 0 and self.step[above].partition(".")[0] not in ("body", "html") else path
+
+
+class Open:
+    """The open elements: tag, whether unwanted, step in the path; and with all below them, whether unwanted, the path, and how many are blocks."""
+
+    def __init__(self, paths: Paths):
+        self.paths = paths
+        self.stack: list[tuple[str, bool, str, bool, int, int]] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    @property
+    def state(self) -> tuple[int, bool]:
+        """Path, and whether text here is a candidate."""
+        return (self.stack[-1][4], not self.stack[-1][3]) if self.stack else (0, True)
+
+    def blocks_from(self, index: int) -> int:
+        return self.stack[-1][5] - (self.stack[index - 1][5] if index else 0)
+
+    def push(self, tag: str, unwanted: bool, step: str) -> None:
+        path, candidate = self.state
+        blocks = (self.stack[-1][5] if self.stack else 0) + (tag in BLOCK)
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, unwanted, step, unwanted or not candidate, self.paths.down(path, step) if step else path, blocks))
+
+    def last(self, tags: set[str], hide: set[str] = frozenset()) -> int:
+        """The place of the last open element of ``tags`` that none of ``hide`` stands behind; -1 if there is none."""
+        found, hidden = (max((self.places[t][-1] for t in some if self.places[t]), default=-1) for some in (tags, hide))
+        return found if found > hidden else -1
+
+    def cut(self, index: int, keep: list[tuple] = ()) -> None:
+        """Close all from ``index`` on but for those in ``keep``."""
+        for x in self.stack[index:]:
+            self.places[x[0]].pop()
+        del self.stack[index:]
+        for x in keep:
+            self.push(*x[:3])
+
+
+def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
     """(path, text, whether it is a candidate) of each block with text, in page order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, unwanted, label in the path
+    out: list[tuple[int, str, bool]] = []
+    held = Open(paths)
+    stack = held.stack
     parts: list[str] = []
-    state = ("", True)
     at, size, lower = 0, len(page), None
 
     def emit() -> None:
-        nonlocal parts
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((state[0], text, state[1]))
-        parts = []
-
-    def settle() -> None:
-        """What the open elements say about text that comes now."""
-        nonlocal state
-        state = ("/".join(x for _, _, x in stack if x), not any(u for _, u, _ in stack))
-
-    def close(index: int) -> None:
-        del stack[index:]
-        settle()
+            path, candidate = held.state
+            out.append((path, text, candidate))
+        parts.clear()
 
     while at < size:
         m = _TAG.search(page, at)
@@ -130,19 +185,19 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
-                emit()
+            index = held.last({tag})
+            if index < 0:
+                if tag == "p":
+                    emit()
                 continue
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if index is None:
+            if tag not in BLOCK and held.blocks_from(index):
+                if stack[index][1]:  # an inline end tag does not end the blocks within, but shows them again
+                    emit()
+                    held.cut(index, stack[index + 1 :])
                 continue
-            if any(t in BLOCK or u for t, u, _ in stack[index:]):
-                if tag not in BLOCK and any(t in BLOCK for t, _, _ in stack[index:]):
-                    del stack[index]  # an inline end tag does not end the blocks within
-                    settle()
-                    continue
+            if held.blocks_from(index) or any(x[1] for x in stack[index:]):
                 emit()
-            close(index)
+            held.cut(index)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -153,19 +208,14 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         if tag in BLOCK or tag in SKIPPED:
             emit()
         if tag in CLOSES_P:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if index is not None:
-                inline = [x for x in stack[index + 1 :] if x[0] not in BLOCK and not x[1]]
-                stack[index:] = inline
+            index = held.last({"p"})
+            if index >= 0:
+                held.cut(index, [x for x in stack[index + 1 :] if x[0] not in BLOCK and not x[1]])
         if tag in CLOSES:
-            closed, hide = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in hide:
-                    break
-                if stack[i][0] in closed:
-                    del stack[i:]
-                    break
-        inside = any(t in ("article", "main") for t, _, _ in stack)
+            index = held.last(*CLOSES[tag])
+            if index >= 0:
+                held.cut(index)
+        inside = bool(held.places["article"] or held.places["main"])
         unwanted = _unwanted(tag, m[3], inside)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -174,28 +224,25 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 end = end.start() if end else -1
             at = size if end < 0 else end
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "math"):
-            settle()
             continue
         label = ""
         if tag in BLOCK:
             own = _CLASS.search(m[3]) if m[3] else None
             label = f"{tag}.{own[1]}" if own else tag
-        stack.append((tag, unwanted, label))
-        settle()
+        held.push(tag, unwanted, label)
     emit()
     return out
 
 
-def content_paths(found: list[tuple[str, str]]) -> set[str]:
+def content_paths(found: list[tuple[int, str]], paths: Paths) -> set[int]:
     """The paths (of blocks with path and text) whose smoothed and fused ratios reach the threshold."""
-    sums: dict[str, list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for path, text in found:
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_MARKS.findall(text))
-    paths = list(sums)
-    above = [p.rpartition("/")[0] for p in paths]
+    above = [paths.above[p] for p in sums]
 
     def smooth(x: list[float]) -> list[float]:
         """Half a path's own ratio, and a quarter of each neighbour's below the same element."""
@@ -208,22 +255,17 @@ def content_paths(found: list[tuple[str, str]]) -> set[str]:
     mean = sum(fused) / max(1, len(fused))
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / max(1, len(fused)))
     least = min(max(fused, default=0.0), max(SHARE * spread, LEAST * max(fused, default=0.0)))
-    return {p for p, x in zip(paths, fused, strict=True) if x >= least}
-
-
-def container(path: str) -> str:
-    """The path of the element whose blocks a content path speaks for; itself if that is the body or the root."""
-    steps = path.split("/")
-    for i, s in enumerate(steps):
-        if s.partition(".")[0] in ("article", "main"):
-            return "/".join(steps[: i + 1])
-    return "/".join(steps[:-1]) if len(steps) > 1 and steps[-2].partition(".")[0] not in ("body", "html") else path
+    return {p for p, x in zip(sums, fused, strict=True) if x >= least}
 
 
 def main_text(page: str) -> str:
-    found = [(path, text) for path, text, candidate in blocks(page) if candidate]
-    wide = {container(p) for p in content_paths(found)}
-    return "\n".join(text for path, text in found if any(path == w or path.startswith(f"{w}/") for w in wide))
+    paths = Paths()
+    found = [(path, text) for path, text, candidate in blocks(page, paths) if candidate]
+    wide = {paths.container(p) for p in content_paths(found, paths)}
+    inside = [p in wide for p in range(len(paths.above))]
+    for p in range(1, len(inside)):  # a path comes after the one above it
+        inside[p] = inside[p] or inside[paths.above[p]]
+    return "\n".join(text for path, text in found if inside[path])
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
