@@ -29,12 +29,13 @@ from .common import fresh
 
 RATIO = 0.05
 MIN_PAGES = 5
-SALTS = 32
+#: Pages of a host that meet its lines in one task, where the lines are too many to broadcast.
+PAGES = 1 << 17
 BROADCAST_BYTES = 16 << 20
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
-    """(host, lines): each host's boilerplate lines, for hosts that have some."""
+    """(host, lines, pages): each host's boilerplate lines and how many pages it has, for hosts that have such lines."""
     page = [F.xxhash64(F.col(text_col)).alias("page")] if distinct else []
     every = docs.select(F.col(host_col).alias("host"), *page)
     found = docs.select(F.col(host_col).alias("host"), *page, F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line")).where(F.trim("line", F.lit(" \t\r")) != "")
@@ -47,7 +48,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
         .where(F.col("n") >= min_pages)
     )
     many = lines.join(pages, lines.host.eqNullSafe(pages.host)).where(F.col("n") > ratio * F.col("pages"))
-    return many.groupBy(lines.host).agg(F.collect_list("line").alias("lines"))
+    return many.groupBy(lines.host).agg(F.collect_list("line").alias("lines"), F.max("pages").alias("pages"))
 
 
 def remove_boilerplate(
@@ -56,20 +57,28 @@ def remove_boilerplate(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    salts: int = SALTS,
+    pages: int = PAGES,
     broadcast_bytes: int = BROADCAST_BYTES,
     distinct: bool = False,
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_removed`` added."""
+    """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_removed`` added.
+
+    Where the lines are too many to broadcast they meet the pages by host; a
+    host of more than ``pages`` pages is dealt over as many tasks as it fills.
+    Such hosts are one to ``pages`` pages at most, which bounds their list.
+    """
     found = cut(boilerplate(docs, host_col, text_col, ratio, min_pages, distinct))
     size = found.agg(F.sum(F.expr("aggregate(lines, 64L, (s, x) -> s + octet_length(x) + 16)"))).first()[0] or 0
-    host, bad, of, salt, left = fresh(docs, "host", "bad", "of", "salt", "left")
+    host, bad, of, salt, left, deals, big = fresh(docs, "host", "bad", "of", "salt", "left", "deals", "big")
     named = found.select(F.col("host").alias(host), F.col("lines").alias(bad))
     if size <= broadcast_bytes:
         joined = docs.join(F.broadcast(named), docs[host_col].eqNullSafe(named[host]), "left")
     else:
-        salted = named.withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = docs.withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
+        dealt = found.select(F.col("host").alias(host), F.col("lines").alias(bad), F.ceil(F.col("pages") / pages).cast("int").alias(deals))
+        heavy = dealt.where(F.col(deals) > 1).select(F.col(host).alias(big), deals)
+        spread = docs.join(F.broadcast(heavy), docs[host_col].eqNullSafe(heavy[big]), "left")
+        spread = spread.withColumn(salt, F.when(F.col(deals).isNull(), 0).otherwise(F.pmod(F.xxhash64(text_col), F.col(deals)).cast("int"))).drop(big, deals)
+        salted = dealt.withColumn(of, F.explode(F.sequence(F.lit(0), F.col(deals) - 1))).drop(deals)
         joined = spread.join(salted, spread[host_col].eqNullSafe(salted[host]) & (spread[salt] == salted[of]), "left")
     split = F.split(text_col, "\n")
     kept = F.filter(split, lambda x: ~F.array_contains(bad, x))
