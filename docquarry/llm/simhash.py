@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,26 +194,33 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, simhash (signed), component_id, group.
+    """One row per row of ``docs``: doc_id, simhash (signed), component_id, group, row.
 
     ``component_id`` is the smallest id of all documents that links reach,
-    ``group`` names the component by one of its fingerprints.
+    ``group`` names the component by one of its fingerprints, ``row`` is a hash
+    of id and text by which rows are found again.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = cut(with_fingerprint(narrow).select("doc_id", "simhash"))
+    marked = cut(with_fingerprint(narrow).select("doc_id", "simhash", _row("doc_id", "text").alias("row")))
     prints = marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least"))
     roots = components(links(prints.select("fp")))
     named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
     ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
     full = named.join(ids, "group").select("fp", "group", "component_id")
-    return marked.join(full, marked.simhash == full.fp).select("doc_id", "simhash", "component_id", "group")
+    return marked.join(full, marked.simhash == full.fp).select("doc_id", "simhash", "component_id", "group", "row")
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group one row, that of the smallest id."""
-    i, fp, group, own = fresh(docs, "id", "fp", "group", "own")
-    found = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id")
-    best = found.select(F.col("doc_id").alias(i), F.col("simhash").alias(fp), F.col("group").alias(group)).distinct()
-    marked = with_fingerprint(docs, text_col, own)
-    kept = marked.join(best, marked[id_col].cast("long").eqNullSafe(best[i]) & (marked[own] == best[fp]))
-    return kept.dropDuplicates([i, group]).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that stay: of each group one row, that of the smallest id (of several texts with it, any).
+
+    Texts are fingerprinted once; the rows that stay are found again by a hash
+    of id and text, and repeated rows meet in the same task as that join's.
+    """
+    (row,) = fresh(docs, "row")
+    best = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id").groupBy("group").agg(F.min("row").alias(row)).select(row)
+    marked = docs.withColumn(row, _row(id_col, text_col))
+    return marked.join(best, row, "left_semi").dropDuplicates([row]).drop(row)
