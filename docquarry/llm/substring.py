@@ -27,6 +27,7 @@ and text, so ids may be null or repeat. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -429,8 +430,25 @@ def _apart(spans: list | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, bound: int = BOUND) -> DataFrame:
-    """``docs`` with ``kept`` (the words left, joined by a space), ``n_words`` and ``n_removed`` added."""
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words in the ranges and the white space between them."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : words[a][0]])
+        at = words[b - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, bound: int = BOUND, rest: str | None = None) -> DataFrame:
+    """``docs`` with ``kept`` (the words left, joined by a space), ``n_words`` and ``n_removed`` added.
+
+    ``rest`` names a further column: the text with the removed words cut out
+    and all white space around them as it was.
+    """
     (spans_col,) = fresh(docs, "spans")
     marked = mark(docs, spans_col, id_col, text_col, window, gram, buckets, bound)
 
@@ -438,7 +456,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         for whole in batches:
             for batch in slices(whole, text_col, SLICE):
                 spans = batch.column(batch.schema.get_field_index(spans_col)).to_pylist()
-                kept, n_words, n_removed = [], [], []
+                kept, n_words, n_removed, whole_texts = [], [], [], []
                 for text, own in zip(raw_texts(batch, text_col), spans, strict=True):
                     words = text.split()
                     n_words.append(len(words))
@@ -448,9 +466,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                             left += words[at:a]
                             at = b
                         words = left + words[at:]
+                    if rest:
+                        whole_texts.append(cut_out(text, _apart(own)) if own else text)
                     kept.append(b" ".join(words))
                     n_removed.append(n_words[-1] - len(words))
-                yield batch, [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+                more = [pa.array(whole_texts, pa.binary()).cast(pa.string())] if rest else []
+                yield batch, [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *more]
 
     fields = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    fields += [T.StructField(rest, T.StringType())] if rest else []
     return append_columns(marked, fields, make).drop(spans_col)
