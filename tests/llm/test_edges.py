@@ -68,7 +68,7 @@ def test_substring(spark, docs):
 def test_lines(spark, docs):
     assert lines.remove_boilerplate(docs, min_pages=1, ratio=0.0).select(*[f"`{c}`" for c in docs.columns if c != "n_removed"]).count() == len(ROWS)
     for size in (0, 1 << 20):
-        rows = lines.remove_boilerplate(docs, min_pages=2, ratio=0.1, broadcast_bytes=size, salts=3).collect()
+        rows = lines.remove_boilerplate(docs, min_pages=2, ratio=0.1, broadcast_bytes=size, pages=2).collect()
         assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in rows if r.doc_id in (1, 2, 3, 4, None)} == {
             (1, "", 1, 1), (2, None, 0, 0), (3, "", 1, 0), (4, " \n\t ", 2, 0), (None, "null id", 1, 0),
         }
