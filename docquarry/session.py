@@ -80,3 +80,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and forget the lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote below the shared one, by the file system that it is on."""
+    if not path.startswith(f"{shared_folder(spark)}/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
