@@ -80,7 +80,6 @@ class SegmentTreeBpe:
         self.keys = keys[order]
         self.ranks = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
         self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
-        self.merged_list = self.merged.tolist()
         self.table: dict[int, int] | None = None
         letters = byte_letters()
         self.inner = np.array([self.vocab[x] for x in letters], np.int64)
@@ -88,7 +87,7 @@ class SegmentTreeBpe:
         self.lower = "Lowercase" in [p.get("type") for p in spec["normalizer"]["normalizers"]] if spec["normalizer"] else False
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", SPACE))
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         self.bytes = {ord(x): b for b, x in enumerate(letters)}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
@@ -171,7 +170,7 @@ class SegmentTreeBpe:
         """The ids of one word, by a tree over its pairs alone."""
         if self.table is None:
             self.table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
-        find, wide, merged, none = self.table.get, self.width, self.merged_list, len(self.merged_list)
+        find, wide, merged, none = self.table.get, self.width, self.merged.tolist(), len(self.merged)
         n = len(word)
         width = 1 << (n - 1).bit_length()
         first = self.inner[np.frombuffer(word, np.uint8)]
@@ -227,6 +226,8 @@ class SegmentTreeBpe:
             if part.isascii():
                 out += [w.encode() for w in self.words.findall(part.lower() if self.lower else part)]
             else:
+                if self.library is None:
+                    self.library = Tokenizer.from_file(self.path)
                 split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part) if self.library.normalizer else part)
                 out += [bytes(map(self.bytes.__getitem__, map(ord, w))) for w, _ in split]
         return out
