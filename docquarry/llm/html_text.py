@@ -4,13 +4,17 @@ A tolerant scan gives the text of each block with its tag path from the root,
 each tag with its first class. For each path of a page, text length and
 punctuation are summed and divided by the path's nodes; the ratios are
 smoothed over neighbouring paths below the same element and fused, length
-times the logarithm of punctuation; and the paths whose fused ratio reaches a
-share of the page's spread, or its greatest value, are content. A content path
-stands for its container, the article or main element above it or else its
-parent if that is not the body: what is in there is text of the same article,
-headings and short lines too. What stands in menus, page headers, footers,
-asides, forms, scripts and styles, or under a class, id or role that says
-advert, notice, sidebar, menu or comments, is no candidate.
+times the logarithm of punctuation, and times a small factor where a class or
+id on the path says advert, notice, sidebar, menu or comments; and the paths
+whose fused ratio reaches a share of the page's spread, or its greatest value,
+are content. A path so named needs much text besides, so that a page with
+nothing but an advert has no text. A content path stands for its container, the
+article or main element above it or else its parent if that is not the body:
+what is in there is text of the same article, headings and short lines too, but
+for what stands under such a name and is not content by its own ratio. Text of
+menus, page headers, footers, asides, forms, scripts and styles, of hidden
+elements, and of inline elements so named is left out of the block around it
+and is never a candidate.
 
 Null and empty pages give the empty text. Unclosed, crossing or cut-off tags
 and references are read as browsers do; deep, wide and very long pages take
@@ -38,6 +42,10 @@ SLICE = 4 << 20
 SHARE = 0.5
 #: And from this share of the page's greatest.
 LEAST = 0.2
+#: What a name that says advert, notice, sidebar, menu or comments leaves of a path's fused ratio.
+NAMED = 0.01
+#: And the least that must be left, for such a path to be content: one of long blocks, about 200 signs each.
+NAMED_LEAST = 4.0
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,30 +86,31 @@ _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？¿¡]")
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element and all in it is no candidate; ``inside``: within an article or main."""
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element and all in it is no candidate, and whether a class or id names it as no part of an article; ``inside``: within an article or main."""
     if tag in SKIPPED or (tag == "header" and not inside):
-        return True
+        return True, False
+    named = False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, named
         if name == "role" and value.lower().strip() in ROLES:
-            return True
+            return True, named
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, named
         if name in ("class", "id") and tag != "main" and HINT.search(_STATED.sub("", _CAMEL.sub("-", value))):
-            return True
-    return False
+            named = True
+    return named and tag not in BLOCK, named
 
 
 class Paths:
-    """Tag paths as numbers: each has the number of the path above it, its last step, and the topmost article or main element on it (-1: none). The root is 0."""
+    """Tag paths as numbers: each has the number of the path above it, its last step, the topmost article or main element on it (-1: none), and whether a step of it is named as no part of an article (such steps end with "!"). The root is 0."""
 
     def __init__(self) -> None:
-        self.above, self.step, self.article = [-1], [""], [-1]
+        self.above, self.step, self.article, self.named = [-1], [""], [-1], [False]
         self.below: dict[tuple[int, str], int] = {}
 
     def down(self, path: int, step: str) -> int:
@@ -110,15 +119,18 @@ class Paths:
             found = self.below[path, step] = len(self.above)
             self.above.append(path)
             self.step.append(step)
+            self.named.append(self.named[path] or step.endswith("!"))
             top = self.article[path]
-            self.article.append(top if top >= 0 else found if step.partition(".")[0] in ("article", "main") else -1)
+            self.article.append(top if top >= 0 else found if re.match(r"(?:article|main)(?![\w-])", step) else -1)
         return found
 
     def container(self, path: int) -> int:
         """The path of the element whose blocks a content path speaks for; itself if that is the body or the root."""
+        above = self.above[path]
+        if self.named[path]:
+            return above if self.named[above] else path
         if self.article[path] >= 0:
             return self.article[path]
-        above = self.above[path]
         return above if above > 0 and self.step[above].partition(".")[0] not in ("body", "html") else path
 
 
@@ -158,9 +170,9 @@ class Open:
             self.push(*x[:3])
 
 
-def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
-    """(path, text, whether it is a candidate) of each block with text, in page order."""
-    out: list[tuple[int, str, bool]] = []
+def blocks(page: str, paths: Paths) -> list[tuple[int, str]]:
+    """(path, text) of each block with text that is a candidate, in page order."""
+    out: list[tuple[int, str]] = []
     held = Open(paths)
     stack = held.stack
     parts: list[str] = []
@@ -169,17 +181,20 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
     def emit() -> None:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            path, candidate = held.state
-            out.append((path, text, candidate))
+            out.append((held.state[0], text))
         parts.clear()
 
+    def add(text: str) -> None:
+        if held.state[1]:
+            parts.append(html.unescape(text))
+
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
-            parts.append(html.unescape(page[at:]))
+            add(page[at:])
             break
         if m.start() > at:
-            parts.append(html.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end() if m.end() > m.start() else m.start() + 1
         if m[2] is None:
             continue
@@ -192,10 +207,9 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
                 continue
             if tag not in BLOCK and held.blocks_from(index):
                 if stack[index][1]:  # an inline end tag does not end the blocks within, but shows them again
-                    emit()
                     held.cut(index, stack[index + 1 :])
                 continue
-            if held.blocks_from(index) or any(x[1] for x in stack[index:]):
+            if held.blocks_from(index):
                 emit()
             held.cut(index)
             continue
@@ -205,7 +219,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
             elif tag in ("br", "wbr", "img"):
                 parts.append(" " if tag == "br" else "")
             continue
-        if tag in BLOCK or tag in SKIPPED:
+        if tag in BLOCK:
             emit()
         if tag in CLOSES_P:
             index = held.last({"p"})
@@ -216,7 +230,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
             if index >= 0:
                 held.cut(index)
         inside = bool(held.places["article"] or held.places["main"])
-        unwanted = _unwanted(tag, m[3], inside)
+        unwanted, named = _judge(tag, m[3], inside)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at) if len(lower) == size else re.compile(f"</{tag}", re.I).search(page, at)
@@ -228,7 +242,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
         label = ""
         if tag in BLOCK:
             own = _CLASS.search(m[3]) if m[3] else None
-            label = f"{tag}.{own[1]}" if own else tag
+            label = (f"{tag}.{own[1]}" if own else tag) + "!" * named
         held.push(tag, unwanted, label)
     emit()
     return out
@@ -251,20 +265,21 @@ def content_paths(found: list[tuple[int, str]], paths: Paths) -> set[int]:
 
     length = smooth([n / k for k, n, _ in sums.values()])
     marks = smooth([m / k for k, _, m in sums.values()])
-    fused = [a * math.log(2 + b) for a, b in zip(length, marks, strict=True)]
+    fused = [a * math.log(2 + b) * (NAMED if paths.named[p] else 1) for p, a, b in zip(sums, length, marks, strict=True)]
     mean = sum(fused) / max(1, len(fused))
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / max(1, len(fused)))
     least = min(max(fused, default=0.0), max(SHARE * spread, LEAST * max(fused, default=0.0)))
-    return {p for p, x in zip(sums, fused, strict=True) if x >= least}
+    return {p for p, x in zip(sums, fused, strict=True) if x >= (max(least, NAMED_LEAST) if paths.named[p] else least)}
 
 
 def main_text(page: str) -> str:
     paths = Paths()
-    found = [(path, text) for path, text, candidate in blocks(page, paths) if candidate]
-    wide = {paths.container(p) for p in content_paths(found, paths)}
+    found = blocks(page, paths)
+    content = content_paths(found, paths)
+    wide = content | {paths.container(p) for p in content}
     inside = [p in wide for p in range(len(paths.above))]
     for p in range(1, len(inside)):  # a path comes after the one above it
-        inside[p] = inside[p] or inside[paths.above[p]]
+        inside[p] = inside[p] or (inside[paths.above[p]] and not paths.step[p].endswith("!"))
     return "\n".join(text for path, text in found if inside[path])
 
 

@@ -393,6 +393,25 @@ def test_article_text():
     assert html_text.main_text(page) == "Head & line\nFirst para graph.\nSecond linked one.\none\ntwo"
 
 
+def test_text_of_inline_elements_that_do_not_count_is_cut_out_of_its_block():
+    page = "<article><p>Text <span class=ad>buy</span>stays <script>x</script>in <button>Share</button>one <b>block.</b></p><p>Next<a class='read-more' hidden>more</a>.</p></article>"
+    assert html_text.main_text(page) == "Text stays in one block.\nNext."
+
+
+def test_names_weigh_in_the_ratio():
+    body = "".join(f"<p>Sentence number {i}, which is long enough to count, says this and that; it goes on for a while. {'More of it, too. ' * 12}</p>" for i in range(5))
+    inside = f"<h1>Head</h1>{body}"
+    said = html_text.main_text(f"<article>{inside}</article>")
+    assert said.count("\n") == 5
+    # an advert and comments lose against an article beside or around them
+    assert html_text.main_text(f"<div class=ad>Buy this, now! {'And that, too. ' * 9}</div><article>{inside}<div class=comments><p>I, too, think so; it is good.</p></div></article>") == said
+    # a page of nothing else has no text, unless it is long and dense as an article is
+    assert html_text.main_text("<nav>Menu</nav><div class=ad>Buy this, now! It is good.</div><footer>f</footer>") == ""
+    assert html_text.main_text(f"<div class=promo-page>{inside}</div>") == said
+    # paths below the threshold go where no element says article
+    assert html_text.main_text(f"<body><span>Home</span><table><tr><td>x<td>y</table><div>{inside}</div><dl><dt>a<dd>b</dl></body>") == said
+
+
 def test_odd_pages_take_linear_time():
     start = time.process_time()
     assert html_text.main_text("<div>" * 8000 + "x" + "</div>" * 8000) == "x"
