@@ -9,7 +9,7 @@ from ..session import cut
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v, m) with m the least of u and its neighbours; a hot u is split by adaptive joins."""
+    """(u, v, m) with m the least of u and its neighbours. All pairs of a u, two numbers each, meet in one task."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
