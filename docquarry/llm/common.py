@@ -71,8 +71,13 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int) -> Iterator[pa.Rec
         yield batch.slice(start)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as a compressed table in the shared folder and read from there: lineage ends, and columns are read apart."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written as a compressed table in the shared folder and read from there, and its folder: lineage ends, and columns are read apart."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``stored_at`` alone."""
+    return stored_at(df)[0]

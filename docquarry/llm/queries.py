@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cws, html_text, lines, maxent, packing, simhash, substring, topk, toxicity
+from . import bpe, cws, html_text, lines, maxent, mixing, packing, resample, simhash, substring, topk, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -128,6 +128,16 @@ select query_id, cast(rank as integer) as rank, vec_id, score from ranked where
 """
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -139,5 +149,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_lm": op9_lm,
     "op10_topk": op10_topk,
+    "op12_mixing": op12_mixing,
+    "op13_resample": op13_resample,
 }
 ORACLES: dict[str, str] = {"op3_substring": OP3_SQL, "op5_lines": OP5_SQL, "op10_topk": OP10_SQL}
