@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cws, html_text, lines, maxent, mixing, packing, resample, simhash, substring, topk, toxicity
+from . import alignment, bpe, cws, html_text, lines, maxent, mixing, packing, resample, simhash, substring, topk, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +129,10 @@ select query_id, cast(rank as integer) as rank, vec_id, score from ranked where
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
@@ -149,6 +154,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_lm": op9_lm,
     "op10_topk": op10_topk,
+    "op11_alignment": op11_alignment,
     "op12_mixing": op12_mixing,
     "op13_resample": op13_resample,
 }
