@@ -47,7 +47,7 @@ from .bpe import SPACE, byte_letters
 from .common import slices, stored_at, texts
 from .packing import SETTLED, ByteBpe
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Chunks that are encoded at once.
 AT_ONCE = 4096
 
@@ -116,26 +116,22 @@ class Aligner:
         b = [ids for at in range(0, len(chunks), AT_ONCE) for ids in self.b.encode(chunks[at : at + AT_ONCE], num_threads=1)]
         return a, b
 
-    def _same(self, chunks: list[str], ids: list[list[int]], token_bytes: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """Which chunks, with a space before, their tokens give byte by byte."""
-        raw = [b" " + c.encode() for c in chunks]
-        flat = list(chain.from_iterable(ids))
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.concatenate([[0], np.cumsum(sizes[np.array(flat, np.int64)])])[np.cumsum(counts)]
-        if np.array_equal(ends, np.cumsum(list(map(len, raw)))) and b"".join([token_bytes[x] for x in flat]) == b"".join(raw):
-            return np.ones(len(chunks), bool)
-        return np.array([b"".join([token_bytes[x] for x in i]) == r for i, r in zip(ids, raw, strict=True)], bool)
-
     def aligned(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """By chunk: whether both give its bytes, tokens of A and of B, groups, and the groups' ids in words; the table of links stays in the database."""
-        a, b = self.encoded(chunks)
-        good = self._same(chunks, a, self.a_bytes, self.a_sizes) & self._same(chunks, b, self.b_bytes, self.b_sizes)
-        if not good.all():
-            a, b = ([x if g else [] for x, g in zip(ids, good, strict=True)] for ids in (a, b))
-        counts = []
-        for name, ids, sizes in (("a", a, self.a_sizes), ("b", b, self.b_sizes)):
+        raw = [b" " + c.encode() for c in chunks]
+        whole, ends = b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        good, lines = np.ones(len(chunks), bool), []
+        for ids, token_bytes, sizes in zip(self.encoded(chunks), (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), strict=True):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            spelled = b"".join([token_bytes[x] for x in flat.tolist()])
+            if spelled != whole or not np.array_equal(np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum(n)], ends):
+                good &= np.array([b"".join([token_bytes[x] for x in i]) == r for i, r in zip(ids, raw, strict=True)], bool)
+            lines.append((n, flat))
+        counts = []
+        for name, (n, flat), sizes in zip(("a", "b"), lines, (self.a_sizes, self.b_sizes), strict=True):
+            if not good.all():
+                flat, n = flat[np.repeat(good, n)], np.where(good, n, 0)
             end = np.cumsum(sizes[flat])
             self.db.register(name, pa.table({"k": np.repeat(np.arange(len(chunks)), n), "id": flat, "s": end - sizes[flat], "e": end}))
             counts.append(n)
@@ -156,20 +152,24 @@ class Aligner:
 
     def slice(self, listed: list[str]) -> dict:
         """A slice's documents: their counts, hashes, and pairs as places in the slice's list of pairs, with links; and that list with its documents."""
-        number: dict[str, int] = {}
-        refs = [np.array([number.setdefault(c, len(number)) for c in self.chunks(t)] if t else [], np.int64) for t in listed]
-        good, *counts, words = self.aligned(list(number))
-        whole = np.array([len(r) > 0 and bool(good[r].all()) for r in refs], bool)
-        refs = [r if w else r[:0] for r, w in zip(refs, whole, strict=True)]
-        n_a, n_b, n_groups = (np.array([c[r].sum() for r in refs], np.int64) for c in counts)
-        sha = [hashlib.sha256(";".join([words[k] for k in r.tolist()]).encode()).hexdigest() if w else "" for r, w in zip(refs, whole, strict=True)]
-        flat = np.concatenate(refs) if refs else np.zeros(0, np.int64)
-        self.db.register("refs", pa.table({"d": np.repeat(np.arange(len(refs)), [len(r) for r in refs]), "k": flat}))
+        parts = [self.chunks(t) if t else [] for t in listed]
+        chunks = list(dict.fromkeys(chain.from_iterable(parts)))
+        number = dict(zip(chunks, range(len(chunks)), strict=True))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
+        good, *counts, words = self.aligned(chunks)
+        doc = np.repeat(np.arange(len(parts)), lengths)
+        whole = lengths > 0
+        whole[doc[~good[flat]]] = False
+        doc, flat = doc[whole[doc]], flat[whole[doc]]
+        n_a, n_b, n_groups = (np.bincount(doc, c[flat], len(parts)).astype(np.int64) for c in counts)
+        sha = [hashlib.sha256(";".join([words[number[c]] for c in part]).encode()).hexdigest() if w else "" for part, w in zip(parts, whole.tolist(), strict=True)]
+        self.db.register("refs", pa.table({"d": doc, "k": flat}))
         found = self.db.sql(_PAIRS).to_arrow_table()
         for name in ("a", "b", "refs"):
             self.db.unregister(name)
         d, pair, links = (found[c].to_numpy() for c in ("d", "pair", "links"))
-        offsets = np.searchsorted(d, np.arange(len(refs) + 1))
+        offsets = np.searchsorted(d, np.arange(len(parts) + 1))
         pairs, place, docs = np.unique(pair, return_inverse=True, return_counts=True)
         return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "groups_sha256": sha, "offsets": offsets, "places": place.astype(np.int64), "links": links.astype(np.int64), "pairs": pairs.astype(np.int64), "pair_docs": docs.astype(np.int64)}
 
