@@ -1,20 +1,21 @@
 """Main text of HTML pages by tag-path ratios.
 
 A tolerant scan gives the text of each block with its tag path from the root,
-each tag with its first class. For each path of a page, text length and
-punctuation are summed and divided by the path's nodes; the ratios are
-smoothed over neighbouring paths below the same element and fused, length
-times the logarithm of punctuation, and times a small factor where a class or
-id on the path says advert, notice, sidebar, menu or comments; and the paths
-whose fused ratio reaches a share of the page's spread, or its greatest value,
-are content. A path so named needs much text besides, so that a page with
-nothing but an advert has no text. A content path stands for its container, the
-article or main element above it or else its parent if that is not the body:
-what is in there is text of the same article, headings and short lines too, but
-for what stands under such a name and is not content by its own ratio. Text of
-menus, page headers, footers, asides, forms, scripts and styles, of hidden
-elements, and of inline elements so named is left out of the block around it
-and is never a candidate.
+each tag with its first class. For each path of a page, the length of text
+outside links and its punctuation are summed and divided by the path's blocks.
+Both ratios are smoothed along the tree of paths: part is a path's own, the rest that of the container
+it stands in, or of one further up, less for each level between; a short list item
+so shares the ratio of the paragraphs around it, and an advert beside
+the article that of its own kind. They are fused: length times the logarithm
+of punctuation, times the container's share of the page's text, times the share of
+the path's text that is no link, and times ``NAMED`` where a class or id on the path says advert, notice,
+sidebar, menu or comments. A heading's ratio comes from the text that follows it. The paths whose fused ratio reaches a
+share of the page's greatest are content, and the text is that of all their blocks in page order; there is no
+other way in. A path so named needs much text besides, so that a page with nothing but an advert has no text.
+
+Text that is no article's by the element it is in is no candidate: menus (nav, menu), page headers,
+footers, asides, forms and their controls, dialogs, scripts, styles and what else browsers do not show, hidden elements, and inline
+elements named as above, which are cut out of the block around them.
 
 Null and empty pages give the empty text. Unclosed, crossing or cut-off tags
 and references are read as browsers do; deep, wide and very long pages take
@@ -38,14 +39,14 @@ from pyspark.sql import types as T
 from .common import append_columns, slices, texts
 
 SLICE = 4 << 20
-#: A path is content from this share of the page's standard deviation of fused ratios on.
-SHARE = 0.5
-#: And from this share of the page's greatest.
-LEAST = 0.2
-#: What a name that says advert, notice, sidebar, menu or comments leaves of a path's fused ratio.
-NAMED = 0.01
-#: And the least that must be left, for such a path to be content: one of long blocks, about 200 signs each.
-NAMED_LEAST = 4.0
+#: A path is content from this share of the page's greatest fused ratio on.
+LEAST = 0.08
+#: How much of a smoothed ratio is a path's own, what is left of a container's for each level between it and a path, and of the following text's for a heading.
+OWN, DECAY, AHEAD = 0.3, 0.7, 1.0
+#: What a name that says advert, notice, sidebar, menu or comments leaves of a path's fused ratio,
+#: and the least that must be left for such a path to be content: blocks of about 200 signs each.
+NAMED, NAMED_LEAST = 0.05, 20.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +55,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("nav footer aside form script style head noscript iframe template svg math canvas object button select textarea dialog menu title audio video map".split())
+SKIPPED = frozenset("nav footer aside form script style head noscript iframe template button select textarea dialog menu title".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: What an opening tag closes, and the elements that hide such an ancestor.
 CLOSES = {
@@ -107,10 +108,10 @@ def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 class Paths:
-    """Tag paths as numbers: each has the number of the path above it, its last step, the topmost article or main element on it (-1: none), and whether a step of it is named as no part of an article (such steps end with "!"). The root is 0."""
+    """Tag paths as numbers: each has the number of the path above it, its last step, and whether a step of it is named as no part of an article (such steps end with "!"). The root is 0."""
 
     def __init__(self) -> None:
-        self.above, self.step, self.article, self.named = [-1], [""], [-1], [False]
+        self.above, self.step, self.named = [-1], [""], [False]
         self.below: dict[tuple[int, str], int] = {}
 
     def down(self, path: int, step: str) -> int:
@@ -120,19 +121,8 @@ class Paths:
             self.above.append(path)
             self.step.append(step)
             self.named.append(self.named[path] or step.endswith("!"))
-            top = self.article[path]
-            self.article.append(top if top >= 0 else found if re.match(r"(?:article|main)(?![\w-])", step) else -1)
         return found
 
-    def container(self, path: int) -> int:
-        """The path of the element whose blocks a content path speaks for; itself if that is the body or the root."""
-        above = self.above[path]
-        if self.named[path]:
-            return above if self.named[above] else path
-        if self.article[path] >= 0:
-            return self.article[path]
-        return above if above > 0 and self.step[above].partition(".")[0] not in ("body", "html") else path
-
 
 class Open:
     """The open elements: tag, whether unwanted, step in the path; and with all below them, whether unwanted, the path, and how many are blocks."""
@@ -170,23 +160,30 @@ class Open:
             self.push(*x[:3])
 
 
-def blocks(page: str, paths: Paths) -> list[tuple[int, str]]:
-    """(path, text) of each block with text that is a candidate, in page order."""
-    out: list[tuple[int, str]] = []
+def blocks(page: str, paths: Paths) -> list[tuple[int, str, int]]:
+    """(path, text, signs of it in links) of each block with text that is a candidate, in page order."""
+    out: list[tuple[int, str, int]] = []
     held = Open(paths)
     stack = held.stack
     parts: list[str] = []
+    links = held.places["a"]
+    linked = 0
     at, size, lower = 0, len(page), None
 
     def emit() -> None:
+        nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((held.state[0], text))
+            out.append((held.state[0], text, min(linked, len(text))))
         parts.clear()
+        linked = 0
 
     def add(text: str) -> None:
+        nonlocal linked
         if held.state[1]:
             parts.append(html.unescape(text))
+            if links:
+                linked += len(_SPACE.sub(" ", parts[-1]).strip())
 
     while at < size:
         m = _TAG.search(page, at)
@@ -248,39 +245,55 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str]]:
     return out
 
 
-def content_paths(found: list[tuple[int, str]], paths: Paths) -> set[int]:
-    """The paths (of blocks with path and text) whose smoothed and fused ratios reach the threshold."""
+def fused_ratios(found: list[tuple[int, str, int]], paths: Paths) -> dict[int, float]:
+    """The smoothed and fused ratio of each path that has blocks."""
     sums: dict[int, list[int]] = {}
-    for path, text in found:
-        s = sums.setdefault(path, [0, 0, 0])
+    for path, text, linked in found:
+        s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += 1
-        s[1] += len(text)
+        s[1] += len(text) - linked
         s[2] += len(_MARKS.findall(text))
-    above = [paths.above[p] for p in sums]
-
-    def smooth(x: list[float]) -> list[float]:
-        """Half a path's own ratio, and a quarter of each neighbour's below the same element."""
-        near = [[j if 0 <= j < len(x) and above[j] == above[i] else i for j in (i - 1, i + 1)] for i in range(len(x))]
-        return [0.5 * x[i] + 0.25 * (x[a] + x[b]) for i, (a, b) in enumerate(near)]
-
-    length = smooth([n / k for k, n, _ in sums.values()])
-    marks = smooth([m / k for k, _, m in sums.values()])
-    fused = [a * math.log(2 + b) * (NAMED if paths.named[p] else 1) for p, a, b in zip(sums, length, marks, strict=True)]
-    mean = sum(fused) / max(1, len(fused))
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / max(1, len(fused)))
-    least = min(max(fused, default=0.0), max(SHARE * spread, LEAST * max(fused, default=0.0)))
-    return {p for p, x in zip(sums, fused, strict=True) if x >= (max(least, NAMED_LEAST) if paths.named[p] else least)}
+        s[3] += len(text)
+    inside: dict[int, list[int]] = {}  # of a container: blocks, length and punctuation of the paths right below
+    for path, (n, length, marks, _) in sums.items():
+        c = inside.setdefault(paths.above[path], [0, 0, 0])
+        if not paths.named[path]:
+            c[0], c[1], c[2] = c[0] + n, c[1] + length, c[2] + marks
+    page = max(1, sum(length for _, length, _ in inside.values()))
+    around = [(0.0, 0.0, 0.0)] * len(paths.above)  # what a path gets from its containers, and their share of the page's text
+    for p in range(1, len(around)):  # a path comes after the one above it
+        up = paths.above[p]
+        n, length, marks = inside.get(up, (0, 0, 0))
+        further = tuple(x * DECAY for x in around[up])
+        around[p] = tuple(map(max, further, (length / n, marks / n, length / page))) if n else further
+    fused = {}
+    for p, (n, length, marks, whole) in sums.items():
+        a, b = (OWN * own / n + (1 - OWN) * near for own, near in zip((length, marks), around[p], strict=False))
+        share = max(around[p][2], length / page)
+        fused[p] = a * math.log(2 + b) * share * (length / whole) * (NAMED if paths.named[p] else 1)
+    # A heading speaks for what follows it.
+    follow: dict[int, list[float]] = {}
+    ahead, named = 0.0, False
+    for path, _, _ in reversed(found):
+        if paths.step[path][:2] in HEADINGS:
+            follow.setdefault(path, []).append(ahead * (NAMED if paths.named[path] and not named else 1))
+        else:
+            ahead, named = fused[path], paths.named[path]
+    return fused | {p: AHEAD * sum(x) / len(x) for p, x in follow.items()}
+
+
+def content_paths(found: list[tuple[int, str, int]], paths: Paths) -> set[int]:
+    """The paths whose fused ratios reach the threshold."""
+    fused = fused_ratios(found, paths)
+    least = LEAST * max(fused.values(), default=0.0)
+    return {p for p, x in fused.items() if x >= (max(least, NAMED_LEAST) if paths.named[p] else least)}
 
 
 def main_text(page: str) -> str:
     paths = Paths()
     found = blocks(page, paths)
     content = content_paths(found, paths)
-    wide = content | {paths.container(p) for p in content}
-    inside = [p in wide for p in range(len(paths.above))]
-    for p in range(1, len(inside)):  # a path comes after the one above it
-        inside[p] = inside[p] or (inside[paths.above[p]] and not paths.step[p].endswith("!"))
-    return "\n".join(text for path, text in found if inside[path])
+    return "\n".join(text for path, text, _ in found if path in content)
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
