@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import make, positions
 from ..functions import variant as V
 from ..operators import aggregates, compare, conformance, descriptions, jtd
-from ..path import first, nodes, parse
-from ..path.syntax import PathError, text
+from ..path import first, nodes
 from ..session import shared_folder, spread, table
 from ..sources import corpus
 from ..sources import documents as D
@@ -180,33 +179,10 @@ RULES = (
 )
 
 
-@query("select * from (values " + ", ".join(f"('{n}', {str(ok).lower()})" for n, _, ok in RULES) + ") t(rule, accepted)")
-def jtd_schema_rules(spark, d):
-    def accepted(schema: str) -> bool:
-        try:
-            jtd.compile_schema(schema)
-        except jtd.SchemaError:
-            return False
-        return True
-
-    return spark.createDataFrame([(name, accepted(schema)) for name, schema, _ in RULES], "rule string, accepted boolean")
-
-
 #: Paths, and their canonical text or the position at which they cannot be read.
 SPELLINGS = (("$", "$", -1), ("$['a'].b", "$.a.b", -1), ("$[*]", "$.*", -1), ("$..[0]", "$..[0]", -1), ("$[1:5:2]", "$[1:5:2]", -1), ("$['a','b c']", "$['a','b c']", -1), ("$[?(@.a<1&&!@.b)]", "$[?((@.a < 1 && !@.b))]", -1), ("$['b c']", "$['b c']", -1), ("a", None, 0), ("$.", None, 2), ("$[1", None, 1), ("$x", None, 1))
 
 
-@query("select * from (values " + ", ".join("('{}', {}, {})".format(p.replace("'", "''"), "null" if t is None else "'" + t.replace("'", "''") + "'", at) for p, t, at in SPELLINGS) + ") t(path, text, position)")
-def path_texts(spark, d):
-    def read(path: str) -> tuple:
-        try:
-            return path, text(parse(path)), -1
-        except PathError as e:
-            return path, None, e.position
-
-    return spark.createDataFrame([read(p) for p, _, _ in SPELLINGS], "path string, text string, position int")
-
-
 @query("select event_id, 5 as members, 3 as elements from events")
 def members_and_elements(spark, d):
     v = _spelled(_e(spark, d)).withColumn("v", V.parse_tolerant(F.col("doc")))

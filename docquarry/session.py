@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -82,6 +83,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, *by: str, folder: str | None = None) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, in parts by some columns, and its folder; lineage ends there."""
+    folder = folder or f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote below the shared one, by the file system that it is on."""
     if not path.startswith(f"{shared_folder(spark)}/"):
