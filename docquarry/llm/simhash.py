@@ -215,12 +215,14 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group one row, that of the smallest id (of several texts with it, any).
+    """The rows of ``docs`` that stay: of each group one row, that of the smallest id (of several texts with it, the one with the least hash).
 
-    Texts are fingerprinted once; the rows that stay are found again by a hash
-    of id and text, and repeated rows meet in the same task as that join's.
+    Texts are fingerprinted once; the rows that stay are found again by their id
+    and a hash of id and text, and repeated rows meet in the same task as that join's.
     """
-    (row,) = fresh(docs, "row")
-    best = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id").groupBy("group").agg(F.min("row").alias(row)).select(row)
+    row, own = fresh(docs, "row", "own")
+    near = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id")
+    best = near.groupBy("group", F.col("doc_id").alias(own)).agg(F.min("row").alias(row)).select(row, own)
     marked = docs.withColumn(row, _row(id_col, text_col))
-    return marked.join(best, row, "left_semi").dropDuplicates([row]).drop(row)
+    met = (marked[row] == best[row]) & F.col(f"`{id_col}`").cast("long").eqNullSafe(best[own])
+    return marked.join(best, met, "left_semi").dropDuplicates([row, id_col]).drop(row)

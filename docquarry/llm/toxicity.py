@@ -105,10 +105,29 @@ def matched(automaton: ahocorasick.Automaton, folded: str) -> tuple[float, int]:
         elif weight > best.get(start, 0.0):
             best[start] = weight
     if excused:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in excused)}
+        spans = iter(_merged(excused))
+        a, b = next(spans)
+        kept = {}
+        for s in sorted(best):
+            while b <= s:
+                a, b = next(spans, (len(folded), len(folded) + 1))
+            if s < a:
+                kept[s] = best[s]
+        best = kept
     return math.fsum(best.values()), len(best)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as spans that are apart, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def normalised(total: float, folded: str) -> float:
     return total / (1 + folded.count(" ") / LENGTH) ** SOFTEN
 
@@ -143,7 +162,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
             yield batch, [pa.array(folded, pa.string()), pa.array([_likeness(t) for t in folded], pa.int64())]
 
     keyed = append_columns(rows, [T.StructField("folded", T.StringType()), T.StructField("likeness", T.LongType())], make).drop("text")
-    return cut(keyed.dropDuplicates(["likeness", "toxic"]).select("folded", "toxic"))
+    # of look-alikes the one with the least hash, whatever the partitions
+    least = keyed.groupBy("likeness", "toxic").agg(F.min_by("folded", F.struct(F.xxhash64("folded"), "folded")).alias("folded"))
+    return cut(least.select("folded", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexicon:
