@@ -50,6 +50,34 @@ def digest(df: DataFrame, line: Column, *by: str, length: int = 7) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.size(lines) > 0, F.left(F.sha2(F.array_join(lines, "\n"), 256), F.lit(length))).otherwise("0" * length).alias("digest"))
 
 
+#: Different lines that one row of a digest's tree holds about at most.
+LEAF = 4096
+
+
+def sorted_digest(df: DataFrame, line: Column, length: int = 7, leaf: int = LEAF) -> DataFrame:
+    """One row (digest) for lines in any number and order, the same under any partitioning.
+
+    Up to ``leaf`` lines it is what ``digest`` gives: the hash of the sorted lines. Beyond,
+    it is the root of a tree whose boundaries are fixed by the lines alone: different lines with their
+    counts go to leaves by the first digits of their own hashes, as many digits as make
+    leaves of ``leaf`` lines, a leaf hashes its sorted lines, and sixteen hashes make one on each level up.
+    Equal lines are counted before they are dealt, so no leaf grows with copies.
+    """
+    counted = df.select(line.alias("line")).where("line is not null").groupBy("line").agg(F.count("*").alias("n"))
+    different, lines = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if lines <= leaf:
+        return digest(df.select(line.alias("line")), F.col("line"), length=length)
+    digits = 0
+    while different > leaf * 16**digits:
+        digits += 1
+    h = F.sha2("line", 256)
+    level = counted.select(F.left(h, F.lit(digits)).alias("at"), F.concat(h, F.lit(":"), F.col("n").cast("string")).alias("said"))
+    for d in range(digits, -1, -1):
+        level = level.groupBy(F.left("at", F.lit(d)).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("said")), "\n"), 256).alias("own"))
+        level = level.select("at", F.concat("at", F.lit("="), "own").alias("said"), "own")
+    return level.select(F.left("own", F.lit(length)).alias("digest"))
+
+
 def totals_digest(df: DataFrame, line: Column, *by: str) -> DataFrame:
     """Per group a digest that does not depend on order and needs no list: for groups of any size."""
     h = F.xxhash64(line)

@@ -9,10 +9,12 @@ all else is column work on the joined row. A NULL part is not compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .compare import same_set, simple_name
+from .compare import same_set, simple_name, sorted_digest
 
 ATTRIBUTES = ("is_interface", "is_enum", "is_record", "is_sealed")
 _CHANGE = "array<struct<type:string,name:string>>"
@@ -115,11 +117,30 @@ def class_sections(compared: DataFrame, key: str = "class_name") -> DataFrame:
     return compared.where(F.col("status") == "DIFFERENT").select(key, text.alias("section"))
 
 
-def heading(totals_row: DataFrame) -> DataFrame:
-    """(text): the table of counts that a summary begins with."""
+def heading_text() -> Column:
+    """The table of counts that a summary begins with, from the columns of ``totals``."""
     rows = [("Total Classes", "total"), ("Matching", "matching"), ("Different", "different"), ("Missing Upstream", "missing")]
     lines = [F.concat(F.lit(f"| {name} | "), F.col(c).cast("string"), F.lit(" |\n")) for name, c in rows]
-    return totals_row.select(F.concat(F.lit("## API Comparison Summary\n\n| Metric | Count |\n|--------|-------|\n"), *lines, F.lit("\n")).alias("text"))
+    return F.concat(F.lit("## API Comparison Summary\n\n| Metric | Count |\n|--------|-------|\n"), *lines, F.lit("\n"))
+
+
+def heading(totals_row: DataFrame) -> DataFrame:
+    """(text): the heading alone."""
+    return totals_row.select(heading_text().alias("text"))
+
+
+def summary(compared: DataFrame, made: str, key: str = "class_name") -> DataFrame:
+    """(part, key, text): the whole summary in pieces that make one text in the order of part and key.
+
+    Heading, the title of the changes where there are any, a section for each class that differs, and the closing line.
+    """
+    row = totals(compared)
+    none = F.lit(None).cast(compared.schema[key].dataType).alias(key)
+    piece = lambda n, text, df=row: df.select(F.lit(n).alias("part"), none, text.alias("text"))
+    sections = class_sections(compared, key).select(F.lit(2).alias("part"), key, F.col("section").alias("text"))
+    title = piece(1, F.lit("## Changes Detected\n\n"), row.where("has_differences"))
+    closing = piece(3, F.concat(F.lit("---\n*Generated by API Tracker on "), day(F.lit(made)), F.lit("*\n")))
+    return piece(0, heading_text()).unionByName(title).unionByName(sections).unionByName(closing)
 
 
 def day(timestamp: Column) -> Column:
@@ -127,18 +148,49 @@ def day(timestamp: Column) -> Column:
     return F.split_part(timestamp, F.lit("T"), F.lit(1))
 
 
-def write_report(compared: DataFrame, folder: str, key: str = "class_name", made: str | None = None) -> None:
-    """The report as files below ``folder``: report (JSON lines), totals, sections in order of class, fingerprint.
+PARTS = ("report", "totals", "summary", "fingerprint")
+
+
+def write_report(compared: DataFrame, folder: str, key: str = "class_name", made: str | None = None) -> str:
+    """The report as files of a new version below ``folder``, which the last step makes the one that counts; its place.
 
-    Rows are written by the tasks that hold them; only the counts, one row,
-    take part in more than one of the files.
+    ``report`` (JSON lines), ``totals``, ``summary`` (Markdown in pieces, in order) and ``fingerprint`` are written by the tasks
+    that hold their rows. Then the name of the version is written and moved to ``current`` by the
+    file system: a report that fails before leaves the one before whole, and readers see all of one version.
     """
-    from .compare import digest
-
-    counts = totals(compared)
-    compared.write.mode("overwrite").json(f"{folder}/report")
-    stamped = counts.withColumn("made", day(F.lit(made) if made else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
-    stamped.write.mode("overwrite").json(f"{folder}/totals")
-    heading(counts).write.mode("overwrite").text(f"{folder}/heading")
-    class_sections(compared, key).orderBy(key).select("section").write.mode("overwrite").text(f"{folder}/sections")
-    digest(change_lines(compared, key), F.col("line")).select("digest").write.mode("overwrite").text(f"{folder}/fingerprint")
+    spark = compared.sparkSession
+    at = f"{folder}/version-{uuid.uuid4().hex}"
+    made = made or spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    compared.write.json(f"{at}/report")
+    totals(compared).withColumn("made", day(F.lit(made))).write.json(f"{at}/totals")
+    pieces = summary(compared, made, key).orderBy("part", key)
+    pieces.select(F.expr("left(text, length(text) - 1)")).write.text(f"{at}/summary")  # a line's end is written anyway
+    sorted_digest(change_lines(compared, key), F.col("line")).write.text(f"{at}/fingerprint")
+    publish(spark, folder, at)
+    return at
+
+
+def _file_system(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, jvm.FileContext.getFileContext(jvm.Path(folder).getFileSystem(conf).getUri(), conf)
+
+
+def publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Make a version the current one, in one move."""
+    staged = f"{folder}/pointer-{uuid.uuid4().hex}"
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(staged)
+    jvm, files = _file_system(spark, folder)
+    found = files.util().globStatus(jvm.Path(f"{staged}/part-*"))
+    overwrite = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    overwrite[0] = jvm.Options.Rename.OVERWRITE
+    files.rename(found[0].getPath(), jvm.Path(f"{folder}/current.txt"), overwrite)
+    files.delete(jvm.Path(staged), True)
+
+
+def current_report(spark: SparkSession, folder: str) -> str | None:
+    """The place of the version that counts; None before the first."""
+    jvm, files = _file_system(spark, folder)
+    if not files.util().exists(jvm.Path(f"{folder}/current.txt")):
+        return None
+    return spark.read.text(f"{folder}/current.txt").first()[0]

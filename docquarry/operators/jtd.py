@@ -229,7 +229,67 @@ def errors(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False,
 
 
 def valid(v: Column, schema: Schema, depth: int = DEPTH, lenient: bool = False) -> Column:
-    return F.size(errors(v, schema, depth, lenient)) == 0
+    """Whether the instance has no errors; NULL for a NULL (absent) instance. A test of its own, which ends at the first thing that is wrong and builds no messages."""
+    return bound(v, lambda x: F.when(x.isNotNull(), _fits(x, schema, schema.definitions, depth, None, lenient)))
+
+
+def _fits(v: Column, s: Schema, defs: dict[str, Schema], depth: int, tag: str | None, lenient: bool) -> Column:
+    """True or false, never NULL."""
+    fits = bound(v, lambda x: _form_fits(x, s, defs, depth, tag, lenient))
+    return missing(v) | fits if s.nullable else fits
+
+
+def _form_fits(v: Column, s: Schema, defs: dict[str, Schema], depth: int, tag: str | None, lenient: bool) -> Column:
+    below = lambda x, sub, t=None: _fits(x, sub, defs, depth, t, lenient)
+    inside = not (lenient and s.nullable)
+    no = F.lit(False)
+    if s.form == "ref":
+        if depth == 0:
+            return F.raise_error(F.lit("instance deeper than the references go")).cast("boolean")
+        target = defs[s.name]
+        if lenient and target.form == "properties":
+            target = Schema("properties", target.nullable, required={}, optional={**target.required, **target.optional}, extra=True)
+        return _fits(v, target, defs, depth - 1, tag, lenient)
+    if s.form == "type":
+        return _type_ok(s.name, v)
+    if s.form == "enum":
+        return is_kind(v, "string") & F.coalesce(v.try_cast("string").isin(*s.values), no)
+    if s.form == "elements":
+        each = F.coalesce(F.forall(v.try_cast(NODES), lambda x: below(x, s.inner[""])), no) if inside else F.lit(True)
+        return is_kind(v, "array") & each
+    if s.form == "values":
+        each = F.coalesce(F.forall(F.map_values(v.try_cast(MEMBERS)), lambda x: below(x, s.inner[""])), no) if inside else F.lit(True)
+        return is_kind(v, "object") & each
+    if s.form == "properties":
+        if not inside:
+            return is_kind(v, "object")
+
+        def absent_or(sub: Schema) -> Callable[[Column], Column]:
+            return lambda x: F.when(x.isNull(), F.lit(True)).otherwise(below(x, sub))
+
+        def checked(members: Column) -> Column:
+            ok = F.lit(True)
+            for k in s.required:
+                ok = ok & F.map_contains_key(members, k)
+            if not s.extra:
+                allowed = [*s.required, *s.optional, *([tag] if tag else [])]
+                ok = ok & (F.forall(F.map_keys(members), lambda k: k.isin(*allowed)) if allowed else F.size(members) == 0)
+            for k, sub in {**s.required, **s.optional}.items():
+                ok = ok & bound(F.try_element_at(members, F.lit(k)), absent_or(sub))
+            return ok
+
+        return is_kind(v, "object") & F.coalesce(bound(v.try_cast(MEMBERS), checked), no)
+    if s.form == "discriminator":
+
+        def chosen(text: Column) -> Column:
+            out = no
+            for k, sub in s.inner.items():
+                out = F.when(text == k, below(v, sub, s.name) if inside else F.lit(True)).otherwise(out)
+            return out
+
+        named = lambda name: is_kind(name, "string") & F.coalesce(bound(name.try_cast("string"), chosen), no)
+        return is_kind(v, "object") & F.coalesce(bound(member(v, s.name), named), no)
+    return F.lit(True)
 
 
 def rendered(found: Column, text: Column | None = None) -> Column:

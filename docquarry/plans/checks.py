@@ -95,7 +95,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     when = F.when(i % 3 == 0, "2024-02-29T23:59:60Z").when(i % 3 == 1, "2023-02-29T10:00:00Z").otherwise("yesterday")
     even = F.when(i % 5 == 0, F.lit('"true"')).otherwise((i % 2 == 0).cast("string"))
-    doc = F.concat(F.lit('{"even":'), even, F.lit(',"when":"'), when, F.lit('","big":'), (i * 7 - 30000).cast("string"), F.lit(',"props":{"k":'), (i % 300).cast("string"), F.lit(',"j":'), (i % 2).cast("string"), F.lit("}}"))
+    doc = F.concat(F.lit('{"even":'), even, F.lit(',"when":"'), when, F.lit('","big":'), (i * 7 - 30000).cast("string"), F.lit(',"props":{"k":'), (i % 300).cast("string"), F.lit(',"j":'), (i % 2).cast("string"), F.lit('},"mixed":'), F.when(i % 3 == 0, "{}").when(i % 3 == 1, "[]").otherwise('{"a":1}'), F.lit("}"))
     return _e(spark, d).select("event_id", "event_type", V.parse_tolerant(doc).alias("v"))
 
 
@@ -115,7 +115,7 @@ def _flag_filter(name: str, test: str, where: str) -> None:
 
 _flag_filter("filter_true", "@.even == true", "event_id % 5 <> 0 and event_id % 2 = 0")
 _flag_filter("filter_not_false", "@.even != false", "event_id % 5 = 0 or event_id % 2 = 0")
-_flag_filter("filter_ordered_booleans", "!(@.even < true) && !(@.even >= false)", "true")
+_flag_filter("filter_ordered_booleans", "!(@.even < true) && !(@.even >= false) && @.even != false", "event_id % 5 = 0 or event_id % 2 = 0")
 _flag_filter("filter_text_is_no_boolean", "@.even == 'true'", "event_id % 5 = 0")
 
 
@@ -130,7 +130,7 @@ _valid("jtd_type_boolean", "$.even", {"type": "boolean"}, "event_id % 5 <> 0")
 _valid("jtd_type_timestamp", "$.when", {"type": "timestamp"}, "event_id % 3 = 0")
 _valid("jtd_type_int16", "$.big", {"type": "int16"}, "event_id * 7 - 30000 between -32768 and 32767")
 _valid("jtd_type_uint8", "$.props.k", {"type": "uint8"}, "event_id % 300 <= 255")
-_valid("jtd_properties_kind", "$.even", {"properties": {}, "additionalProperties": True}, "false")
+_valid("jtd_properties_kind", "$.mixed", {"properties": {}, "additionalProperties": True}, "event_id % 3 <> 1")
 
 
 @query("select 'type' as code, '/properties/props/values/type' as schema, '#→field:props→field:k' as via, 'expected uint8, got out of range' as message, count(*) as n from events where event_id % 300 > 255 having count(*) > 0")
@@ -183,10 +183,13 @@ RULES = (
 SPELLINGS = (("$", "$", -1), ("$['a'].b", "$.a.b", -1), ("$[*]", "$.*", -1), ("$..[0]", "$..[0]", -1), ("$[1:5:2]", "$[1:5:2]", -1), ("$['a','b c']", "$['a','b c']", -1), ("$[?(@.a<1&&!@.b)]", "$[?((@.a < 1 && !@.b))]", -1), ("$['b c']", "$['b c']", -1), ("a", None, 0), ("$.", None, 2), ("$[1", None, 1), ("$x", None, 1))
 
 
-@query("select event_id, 5 as members, 3 as elements from events")
+@query("select event_id, cast(2 + event_id % 2 as integer) as members, cast(event_id % 4 as integer) as elements, event_id % 2 = 1 as has from events")
 def members_and_elements(spark, d):
-    v = _spelled(_e(spark, d)).withColumn("v", V.parse_tolerant(F.col("doc")))
-    return v.select("event_id", (F.size(V.as_members(F.col("v"))) - 1).alias("members"), F.size(V.as_elements(V.member(F.col("v"), "list"))).alias("elements"))
+    i = F.col("event_id")
+    doc = F.concat(F.lit('{"a":1,"list":['), F.array_join(F.array_repeat(F.lit("0"), (i % 4).cast("int")), ","), F.lit("]"), F.when(i % 2 == 1, F.lit(',"more":null}')).otherwise("}"))
+    v = _e(spark, d).select("event_id", V.parse_strict(doc).alias("v"))
+    members = V.as_members(F.col("v"))
+    return v.select("event_id", F.size(members).alias("members"), F.size(V.as_elements(V.member(F.col("v"), "list"))).alias("elements"), F.map_contains_key(members, F.lit("more")).alias("has"))
 
 
 @query("select o_orderkey, min(l_partkey) filter (where i = 1) as first, max(l_partkey) filter (where i = n) as last from (select l.*, o_orderkey, row_number() over w as i, count(*) over (partition by l_orderkey) as n from lineitem l join orders on o_orderkey = l_orderkey window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag)) group by 1")
@@ -221,6 +224,14 @@ def set_operations(spark, d):
     return o.select("o_orderkey", F.array_join(F.array_sort(make.common(F.col("xs"), F.reverse("xs"))), "").alias("common"), make.has_duplicates(F.col("xs")).alias("repeated"))
 
 
+@query("select o_orderkey, array_to_string(list_sort(list_intersect(list(l_linenumber), list(cast(l_quantity as integer)))), ',') as both from orders join lineitem on l_orderkey = o_orderkey group by 1")
+def set_intersection(spark, d):
+    """The line numbers of an order that are quantities of it as well."""
+    of = lambda c: F.transform(nodes(F.col("v"), f"$.items[*].{c}"), V.as_long)
+    o = _orders(spark, d).select("o_orderkey", of("l_linenumber").alias("a"), of("l_quantity").alias("b")).where(F.size("a") > 0)
+    return o.select("o_orderkey", F.array_join(F.transform(F.array_sort(make.common(F.col("a"), F.col("b"))), lambda x: x.cast("string")), ",").alias("both"))
+
+
 @query("with t as (select l.*, o_orderkey, row_number() over w as i from lineitem l join orders on o_orderkey = l_orderkey window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag)) select o_orderkey, l_returnflag as flag, arg_max(l_partkey, i) as partkey from t group by all")
 def merge_last_wins(spark, d):
     pair = lambda x: F.struct(V.as_string(V.member(x, "l_returnflag")).alias("key"), V.as_long(V.member(x, "l_partkey")).alias("value"))
@@ -256,7 +267,7 @@ def make_values(spark, d):
     return e.select("event_id", V.as_long(V.member(F.col("v"), "u")).alias("u"), V.as_double_or_null(F.col("n")).alias("x"))
 
 
-@query("select event_id, 'é' || event_type || case when event_id % 4 = 3 then chr(65533) else '' end as name, case event_id % 4 when 1 then 'utf-16-be' when 2 then 'utf-8' end as mark from events")
+@query("select event_id, 'é' || event_type || case when event_id % 4 = 3 then 'ÿ' else '' end as name, case event_id % 4 when 1 then 'utf-16-be' when 2 then 'utf-8' end as mark from events")
 def decode_bytes(spark, d):
     """Documents as bytes of several encodings, with and without a mark, and with a broken byte."""
     g = F.col("event_id") % 4
@@ -272,9 +283,12 @@ def decode_bytes(spark, d):
     return e.select("event_id", V.as_string(first(V.parse_tolerant(F.col("text")), "$.name")).alias("name"), corpus.byte_order_mark(F.col("content")).alias("mark"))
 
 
-@query("select event_type as path, 'a.json' as member, count(*) as n from events group by 1 union all select event_type, 'b/c.json', 1 from (select distinct event_type from events)")
+@query(
+    """select event_type as path, 'a.json' as member, count(*) as n, null as error from events group by 1 union all select event_type, 'b/c.json', 1, null from (select distinct event_type from events)
+    union all select event_type, 'e.json', null, 'broken member' from (select distinct event_type from events) union all select event_type || '-cut', null, null, 'no archive' from (select distinct event_type from events)"""
+)
 def zip_scan(spark, d):
-    """Archives with a document, one deeper, and a file of another kind."""
+    """Archives with a document, one deeper, a file of another kind and a broken member; and the same archives cut short."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +298,13 @@ def zip_scan(spark, d):
                     z.writestr("a.json", f'{{"n":{n}}}')
                     z.writestr("b/c.json", '{"n":1}')
                     z.writestr("d.txt", "{}")
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([held.getvalue()])], names=["path", "content"])
+                    z.writestr("e.json", "spoilt")
+                whole = held.getvalue().replace(b"spoilt", b"spoilT")
+                yield pa.RecordBatch.from_arrays([pa.array([name, f"{name}-cut"]), pa.array([whole, whole[:-30]])], names=["path", "content"])
 
     archives = _e(spark, d).groupBy("event_type").agg(F.count("*").alias("n")).mapInArrow(pack, "path string, content binary")
     found = corpus.decoded(corpus.zip_members(archives))
-    return found.select(F.split_part("path", F.lit("!"), F.lit(1)).alias("path"), F.split_part("path", F.lit("!"), F.lit(2)).alias("member"), V.as_long(first(V.parse_tolerant(F.col("text")), "$.n")).alias("n"))
+    return found.select(F.split_part("path", F.lit("!"), F.lit(1)).alias("path"), F.nullif(F.split_part("path", F.lit("!"), F.lit(2)), F.lit("")).alias("member"), V.as_long_or_null(first(V.parse_tolerant(F.col("text")), "$.n")).alias("n"), F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
 
 
 @query("select * from (values ('events.parquet', true, null), ('nation.parquet', true, null), ('none.json', false, 'LOCAL_FILE_NOT_FOUND: none.json')) t(name, found, error)")
@@ -342,7 +358,7 @@ def diff_class_changes(spark, d):
 )
 def diff_summary(spark, d):
     row = descriptions.totals(descriptions.compare_classes(*_described(spark, d)))
-    return descriptions.heading(row).crossJoin(row.select("has_differences"))  # one row each
+    return row.select(descriptions.heading_text().alias("text"), "has_differences")
 
 
 @query(
@@ -358,7 +374,29 @@ def report_files(spark, d):
     """The report's files, written to the shared folder and read back."""
     folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     descriptions.write_report(descriptions.compare_classes(*_described(spark, d)), folder, made="2024-05-06T07:08:09")
-    return spark.read.schema("total long, matching long, different long, missing long, made string").json(f"{folder}/totals")
+    return spark.read.schema("total long, matching long, different long, missing long, made string").json(f"{descriptions.current_report(spark, folder)}/totals")
+
+
+@query(
+    """with t as (select count(*) as n, count(*) filter (where event_id % 11 = 0) as m, count(*) filter (where event_id % 11 between 1 and 7) as f, count(*) filter (where event_id % 11 in (8, 10)) as u from events), parts as (
+    select 0 as part, null as class_name, '## API Comparison Summary' || chr(10) || chr(10) || '| Metric | Count |' || chr(10) || '|--------|-------|' || chr(10) || '| Total Classes | ' || n || ' |' || chr(10) || '| Matching | ' || m || ' |' || chr(10) || '| Different | ' || f || ' |' || chr(10) || '| Missing Upstream | ' || u || ' |' || chr(10) || chr(10) as text from t
+    union all select 1, null, '## Changes Detected' || chr(10) || chr(10) from t where f > 0
+    union all select 2, 'org.sample.C' || event_id, '### org.sample.C' || event_id || chr(10) || chr(10) || case event_id % 11 when 1 then '- ❓ **attributeChanged**: `unknown`' when 2 then '- ❓ **modifiersChanged**: `unknown`' when 3 then '- 🔗 **inheritanceChanged**: `unknown`'
+    when 4 then '- ➖ **methodRemoved**: `put`' || chr(10) || '- ➕ **methodAdded**: `del`' when 5 then '- 🔄 **methodChanged**: `get`' when 6 then '- 📦 **fieldsChanged**: `unknown`' else '- 🏗️ **constructorsChanged**: `unknown`' end || chr(10) || chr(10) from events where event_id % 11 between 1 and 7
+    union all select 3, null, '---' || chr(10) || '*Generated by API Tracker on 2024-05-06*' || chr(10))
+    select * from parts"""
+)
+def report_summary(spark, d):
+    """The whole Markdown summary, in pieces that make one text in their order."""
+    return descriptions.summary(descriptions.compare_classes(*_described(spark, d)), "2024-05-06T07:08:09")
+
+
+@query("select left(sha256(string_agg('org.sample.C' || event_id || ':' || change, chr(10) order by 'org.sample.C' || event_id || ':' || change)), 7) as digest from events join (values (1, 'attributeChanged:'), (2, 'modifiersChanged:'), (3, 'inheritanceChanged:'), (4, 'methodRemoved:put'), (4, 'methodAdded:del'), (5, 'methodChanged:get'), (6, 'fieldsChanged:'), (7, 'constructorsChanged:')) t(g, change) on event_id % 11 = g where event_id < 4000")
+def report_fingerprint(spark, d):
+    """The fingerprint of a report whose lines one row holds is that of its sorted lines."""
+    local, upstream = _described(spark, d)
+    few = F.split_part("class_name", F.lit("C"), F.lit(2)).cast("long") < 4000
+    return compare.sorted_digest(descriptions.change_lines(descriptions.compare_classes(local.where(few), upstream.where(few))), F.col("line"))
 
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -298,7 +298,7 @@ def stream_windows(spark, d):
     doc = F.to_json(F.struct("event_type", "value"))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     S.run_to_table(S.windowed_sums(events.withColumn("doc", doc), "ts", "doc", "$.value"), f"{folder}/rows", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/rows").select("start", "n", F.round("total", 2).alias("total"))
+    return S.latest(spark, f"{folder}/rows", "start").select("start", "n", F.round("total", 2).alias("total"))
 
 
 @query("""select c_custkey, ptr, depth, kind, text, case ptr when '/balance' then round(c_acctbal, 2) end as number from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey,

@@ -33,7 +33,7 @@ def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spread(table(spark, sf_dir, "events"))
     head = F.concat(F.lit('{"event_type":"'), F.col("event_type"), F.lit('","user_id":'), F.col("user_id").cast("string"))
     number = F.to_json(F.struct(F.col("value").alias("value")))
-    number = F.substring(number, 2, 1_000_000)
+    number = F.substr(number, F.lit(2))
     shape = F.col("event_id") % 5
     tail = (
         F.when(shape == 0, F.concat(F.lit(',"value":"'), F.coalesce(F.col("event_id").cast("string"), F.lit("")), F.lit('"}')))

@@ -24,19 +24,27 @@ def checked(events: DataFrame, text: str, schema: jtd.Schema) -> DataFrame:
 
 
 def windowed_sums(events: DataFrame, time: str, text: str, path: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, n, total) per tumbling window of a number in the documents; rows later than ``late`` are dropped."""
+    """(start, n, total) per tumbling window of a number in the documents; a window that ends more than ``late`` before the latest time seen takes no more rows."""
     marked = events.withWatermark(time, late).withColumn("x", as_double_or_null(first(parse_tolerant(F.col(text)), path)))
     return marked.groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n"), F.sum("x").alias("total")).select(F.col("w.start").alias("start"), "n", "total")
 
 
 def run_to_table(stream: DataFrame, rows: str, state: str) -> None:
-    """Run until all that is there now has been read; the result's last form is in Parquet at ``rows``, its progress at ``state``.
+    """Run until all that is there now has been read; each batch's changed rows are in Parquet below ``rows``, progress and state at ``state``.
 
-    Every batch overwrites the rows with the complete result, from the tasks
-    that hold it, so a batch that is run again after a loss changes nothing.
+    Rows are updates: a window comes again when it has changed, and its state goes when
+    the watermark has passed it. A batch writes to a folder of its own, so a batch that
+    is run again after a loss changes nothing; ``latest`` reads what counts.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(rows)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
 
-    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, rows: str, *keys: str) -> DataFrame:
+    """The last update of each key."""
+    found = spark.read.option("basePath", rows).parquet(rows)
+    others = [c for c in found.columns if c not in (*keys, "batch")]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
