@@ -77,6 +77,16 @@ def _ordered(op: str, a: Column, b: Column) -> Column:
     return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 
+def _units(text: Column) -> Column:
+    """What orders texts by UTF-16 units, where characters above U+FFFF come before those from U+E000 on."""
+    return F.encode(text, "UTF-16BE")
+
+
+def _before_surrogates(text: str) -> bool:
+    """Whether a text compares with all others in one order by code points and by units."""
+    return all(c < "\ud800" for c in text)
+
+
 _READ = {float: as_double_or_null, str: as_string_or_null, bool: as_boolean_or_null}
 _TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
@@ -88,7 +98,10 @@ def _with_value(op: str, v: Column, value) -> Column:
         return missing(v) if op == "==" else ~missing(v) if differ else F.lit(False)
     if isinstance(value, bool) and op not in ("==", "!="):
         return F.lit(False)
-    return F.coalesce(_ordered(op, _READ[type(value)](v), F.lit(value)), F.lit(differ))
+    got, wanted = _READ[type(value)](v), F.lit(value)
+    if isinstance(value, str) and op not in ("==", "!=") and not _before_surrogates(value):
+        got, wanted = _units(got), _units(wanted)
+    return F.coalesce(_ordered(op, got, wanted), F.lit(differ))
 
 
 def _with_node(op: str, a: Column, b: Column) -> Column:
@@ -99,7 +112,7 @@ def _with_node(op: str, a: Column, b: Column) -> Column:
         if op in ("==", "!="):
             equal = F.when(missing(a) | missing(b), missing(a) & missing(b)).otherwise(F.coalesce(as_double_or_null(a) == as_double_or_null(b), canonical(a) == canonical(b)))
             return equal if op == "==" else ~equal
-        return F.coalesce(_ordered(op, as_double_or_null(a), as_double_or_null(b)), _ordered(op, as_string_or_null(a), as_string_or_null(b)), F.lit(False))
+        return F.coalesce(_ordered(op, as_double_or_null(a), as_double_or_null(b)), _ordered(op, _units(as_string_or_null(a)), _units(as_string_or_null(b))), F.lit(False))
 
     return bound(F.struct(a.alias("a"), b.alias("b")), compared)
 
@@ -110,6 +123,8 @@ def _same_kind(op: str, a, b) -> bool:
         return {"==": a is b, "!=": a is not b}.get(op, False)
     if op in ("==", "!="):
         return (a == b) == (op == "==")
+    if isinstance(a, str):
+        a, b = a.encode("utf-16-be"), b.encode("utf-16-be")
     return not isinstance(a, bool) and {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 

@@ -205,7 +205,8 @@ class Walk:
                     return (x == y) == (op == "==")
                 if x[0] != y[0] or x[0] not in ("number", "string") or type(x[1]) is not type(y[1]):
                     return False
-                return {"<": x[1] < y[1], "<=": x[1] <= y[1], ">": x[1] > y[1], ">=": x[1] >= y[1]}[op]
+                a, b = (z[1].encode("utf-16-be") if isinstance(z[1], str) and x[0] == "string" else z[1] for z in (x, y))  # texts in order of UTF-16 units
+                return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
         return True
 
     def matches(self, t: Trie, rows: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
