@@ -16,7 +16,7 @@ next document is found on ids alone, ranged over the partitions, with the
 partitions' first ids (as many as there are partitions) to go on from one to
 the next.
 
-Null texts are empty. Texts without words share a fingerprint of their own,
+Null texts are empty; texts of any length are read whole. Texts without words share a fingerprint of their own,
 alike to itself and to no other. Null ids sort first; rows that repeat id and
 text are one document for the order, and get the same result each. Texts of
 one id are ordered by their hash. An empty table gives an empty table; only

@@ -12,7 +12,7 @@ With ``distinct`` pages of one host with the same text (told by its 64-bit
 hash) count as one, among the pages with a line and among all, so that a
 document does not become boilerplate by being copied; otherwise each counts.
 
-Lines are what stands between newlines; lines of white space alone are never
+Texts of any length are split whole. Lines are what stands between newlines; lines of white space alone are never
 boilerplate. Null texts have no lines and stay null. Null hosts make one host
 of their own. Repeated rows are pages of their own, but with ``distinct``. An empty table gives an
 empty table. Columns keep their names; ``n_lines`` and ``n_removed`` replace

@@ -14,7 +14,8 @@ sequences of the capacity; what is over goes to sequences whose lengths are
 the powers of two that add up to it, which need no padding.
 
 Sequence ids are made of the task's partition and a count in it, so a task that
-runs again gives the same ids. Null texts are empty and have the end token
+runs again gives the same ids. Documents of equal cost go in the order in
+which the task reads them. Null texts are empty and have the end token
 alone; repeated rows are packed one by one; an empty table gives an empty
 table; only the id and text columns are read, so no other name can clash.
 """

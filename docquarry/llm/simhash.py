@@ -14,7 +14,9 @@ copies gives as many rows as it has fingerprints, not pairs. Keys that many
 fingerprints share are first joined over single bits, and only what is still
 apart is compared.
 
-Null texts have no words and fingerprint zero, which links like any other.
+Null texts have no words and fingerprint zero, which links like any other. A
+bit that is set in exactly half of the hashes is 0. Texts of any length are
+read whole, in the task that has them.
 Null ids stay; they are never the smallest id, and a group without any id has
 a null component. Repeated rows get the same result; an empty table gives an
 empty one; only the id and text columns are read, so no other name can clash.

@@ -20,7 +20,8 @@ of all documents share arrives once from each batch. The strings of a batch
 and a bucket travel together, compressed.
 
 Words are the runs of bytes other than ASCII white space. Null texts have no
-words. Documents of fewer than ``window`` words have no window and stay whole.
+words; texts of any length are read whole. Input columns that are named as new
+ones are replaced. Documents of fewer than ``window`` words have no window and stay whole.
 Repeated rows count as occurrences of each other. Rows are told apart by id
 and text, so ids may be null or repeat. An empty table gives an empty table.
 """
