@@ -148,9 +148,6 @@ def day(timestamp: Column) -> Column:
     return F.split_part(timestamp, F.lit("T"), F.lit(1))
 
 
-PARTS = ("report", "totals", "summary", "fingerprint")
-
-
 def write_report(compared: DataFrame, folder: str, key: str = "class_name", made: str | None = None) -> str:
     """The report as files of a new version below ``folder``, which the last step makes the one that counts; its place.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.structure import KINDS, NODE, Nodes, batches, index
+from ..operators.structure import KINDS, NODE, Nodes, batches, index, refuse_clashes
 from .syntax import PathError, parse
 from .syntax import text as written_as
 
@@ -241,6 +241,7 @@ def find_all(df: DataFrame, text: str, paths: Iterable[str] | DataFrame, *keep:
     paths = list(dict.fromkeys(paths))
     if len(paths) > MOST:
         raise ValueError(f"more than {MOST} paths")
+    refuse_clashes(keep, MATCH.names)
     compiled, n, names = trie(paths), len(keep), [*keep, *MATCH.names]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +255,7 @@ def find_all(df: DataFrame, text: str, paths: Iterable[str] | DataFrame, *keep:
 
 def find(df: DataFrame, text: str, path: str, *keep: str) -> DataFrame:
     """The same for the path that each row has in a column; a row without one has no matches, and one that can't be read fails the query."""
+    refuse_clashes(keep, MATCH.names)
     n, names = len(keep), [*keep, *MATCH.names]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
