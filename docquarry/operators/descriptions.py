@@ -28,6 +28,9 @@ MARKS = {
     "constructorsChanged": "🏗️",
 }
 OTHER_MARK = "❓"
+# The title of the changes, and what stands before and after the day in a summary's closing line.
+CHANGES = "## Changes Detected\n\n"
+CLOSING = ("---\n*Generated by API Tracker on ", "*\n")
 
 
 def source_path(class_name: Column, packages: dict[str, str] | None = None, suffix: str = ".java") -> Column:
@@ -138,8 +141,8 @@ def summary(compared: DataFrame, made: str, key: str = "class_name") -> DataFram
     none = F.lit(None).cast(compared.schema[key].dataType).alias(key)
     piece = lambda n, text, df=row: df.select(F.lit(n).alias("part"), none, text.alias("text"))
     sections = class_sections(compared, key).select(F.lit(2).alias("part"), key, F.col("section").alias("text"))
-    title = piece(1, F.lit("## Changes Detected\n\n"), row.where("has_differences"))
-    closing = piece(3, F.concat(F.lit("---\n*Generated by API Tracker on "), day(F.lit(made)), F.lit("*\n")))
+    title = piece(1, F.lit(CHANGES), row.where("has_differences"))
+    closing = piece(3, F.concat(F.lit(CLOSING[0]), day(F.lit(made)), F.lit(CLOSING[1])))
     return piece(0, heading_text()).unionByName(title).unionByName(sections).unionByName(closing)
 
 
