@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import zstandard
 from pyspark.sql import functions as F
@@ -125,6 +126,22 @@ def test_byte_ids_are_the_library_ids():
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == mine.exact.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_byte_ids_of_a_column_look_each_chunk_up_once():
+    """The ids are the library's beside every kind of space, and equal chunks of all texts are encoded in one call."""
+    mine = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    parts = ["a", "Z", "é", "ɐ", "漢", "12", " ", "  ", "\n", "\t", "\xa0", "\x1c", "\x85", "'s", "!", "<|endoftext|>", " a", " b", "\n ", "\0", *mine.special]
+    texts = [None, "", " ", "a ", "\n", "b\n", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
+    for text, ids in zip(texts, mine.encode_all(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == mine.exact.encode(text or "", add_special_tokens=False).ids, repr(text)
+    mine.memo.clear()
+    calls, encode = [], mine.fast.encode_ordinary
+    mine.fast.encode_ordinary = lambda x: calls.append(x) or encode(x)
+    mine.encode_all(pa.array(["one two three two", "one three four", "one"]))
+    assert calls.count("one") == 3 and len(calls) == 4  # first chunks have no space before them
+    assert sorted(c for x in calls if x != "one" for c in x.split()) == ["four", "one", "three", "two"]
+
+
 def test_packing_covers_every_token_without_padding():
     rng = random.Random(3)
     for n in (0, 1, 3, 500):
