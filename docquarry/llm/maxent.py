@@ -162,8 +162,8 @@ def with_counts(chunks: DataFrame, counts: DataFrame) -> DataFrame:
 
 def trigram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of each word with its edges, one after another, and where each word's begin."""
-    text = np.frombuffer(b"\0".join([b"", *words, b""]), np.uint8).astype(np.int64)
-    start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])[:-1]
+    text = np.frombuffer(b"\0\0".join([b"", *words, b""]), np.uint8).astype(np.int64)  # none reaches into the next word
+    start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)])[:-1]
     rows = (text[:-2] * 961 + text[1:-1] * 31 + text[2:] * 7919) % TRIGRAMS
     return rows, start
 

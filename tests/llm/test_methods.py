@@ -341,6 +341,16 @@ def test_language_model_tree_sums_all_parts(spark):
         assert np.frombuffer(got[b].met, "<i8").tolist() == [sum(range(70))] * 2
 
 
+def test_class_of_a_word_that_is_not_clustered_is_its_own():
+    """It does not depend on the words that stand beside it in a dictionary."""
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(maxent.TRIGRAMS, 14)).astype(np.float32)
+    words = [f"{a}{b}".encode() for a in ("q", "rare", "ünd", "x" * 70) for b in range(200)]
+    alone = [int(maxent.rare_class([w], table)[0]) for w in words]
+    assert maxent.rare_class(words, table).tolist() == alone
+    assert maxent.rare_class(words[::-1], table).tolist() == alone[::-1]
+
+
 def test_language_model_uses_words_in_context(spark):
     """Words that follow each other are likelier than their counts say, within a class too."""
     pairs = [(f"w{i}", f"v{i}") for i in range(8)]
