@@ -32,6 +32,7 @@ no other name can clash.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -65,6 +66,8 @@ NEVER = -1e4
 BLOCK, FAN = 4096, 32
 #: Splits of the chunks that one task of a round takes, where there are more than cores.
 GATHERED = 4
+#: Entries of dictionaries that are counted together.
+DEALT = 1 << 19
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -89,7 +92,14 @@ def tokens(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     inside = np.ones(len(out), bool)
     inside[np.cumsum(sizes) - 1] = False
     out[inside] = codes
-    return [*words, END], out, sizes
+    return [*map(brief, words), END], out, sizes
+
+
+def brief(word: bytes) -> bytes:
+    """The word, or how it starts and its digest, so that no dictionary has texts of any length in it."""
+    if len(word) <= 4 * LONGEST:
+        return word
+    return word[: 2 * LONGEST].decode(errors="ignore").encode() + hashlib.sha256(word).hexdigest().encode()
 
 
 def held_out(id_col: str) -> Column:
@@ -107,7 +117,8 @@ def _unplaned(x: bytes, kind: str = "<i4") -> np.ndarray:
 
 
 _DOCS = "chunk long, ids array<long>, out array<boolean>, sizes binary, codes binary, words binary"
-_CODED, _COUNTED = f"{_DOCS}, n array<long>", f"{_DOCS}, counts binary"
+_DOCS_NAMES = [x.split()[0] for x in _DOCS.split(", ")]
+_CODED, _COUNTED = f"{_DOCS}, n array<long>", f"{_DOCS}, counts binary, about binary"
 #: Between the words of a dictionary; no word has it.
 BREAK = b"\n"
 
@@ -137,27 +148,80 @@ def _one(values: pa.Array) -> pa.Array:
 def counted(chunks: DataFrame) -> DataFrame:
     """(chunk, code, word, n, c, first): each word of each dictionary with its count ``c`` in all training; ``first`` marks one row per word.
 
-    A word comes once in a chunk, so the rows of the commonest word are as many as the chunks.
+    Dictionaries are dealt by hash of the word into buckets of about
+    ``DEALT`` entries. A word comes once in a chunk, so the commonest has as
+    many entries as there are chunks.
     """
-    words = F.split(F.col("words").cast("string"), BREAK.decode())
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip(words.alias("word"), "n")).alias("code", "x")).select("chunk", "code", "x.word", "x.n")
-    own = Window.partitionBy("word")
-    return each.select("chunk", "code", "word", "n", F.sum("n").over(own).alias("c"), (F.col("chunk") == F.min("chunk").over(own)).alias("first"))
-
+    entries, size = chunks.agg(F.coalesce(F.sum(F.size("n")), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
+    buckets = max(chunks.sparkSession.sparkContext.defaultParallelism, entries // DEALT, size // (16 * DEALT))
 
-def with_counts(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """The chunks with ``counts``, those of their dictionaries' words in all training."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                words = words.as_py().split(BREAK)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                there, start = np.unique(bucket[order], return_index=True)
+                ends = [*start.tolist()[1:], len(order)]
+                words, n = [words[i] for i in order.tolist()], n.values.to_numpy()[order]
+                parts = [(_planes(order[i:j]), BREAK.join(words[i:j]), _planes(n[i:j])) for i, j in zip(start.tolist(), ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([chunk] * len(there)), *map(pa.array, zip(*parts, strict=True))], names=["bucket", "chunk", "codes", "words", "n"])
+
+    def count(part: pa.Table) -> pa.Table:
+        lists = pc.split_pattern(part.column("words").cast(pa.string()).combine_chunks(), BREAK.decode())
+        words, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+        which = words.dictionary_encode().indices.to_numpy()  # numbered as they come
+        code, n = (np.concatenate([_unplaned(x.as_py()) for x in part.column(k)]).astype(np.int64) for k in ("codes", "n"))
+        c = np.bincount(which, n).astype(np.int64)[which]
+        first = np.diff(np.maximum.accumulate(which), prepend=-1) > 0
+        return pa.table([pa.array(np.repeat(part.column("chunk").to_numpy(), sizes)), pa.array(code), words, pa.array(n), pa.array(c), pa.array(first)], names=_WORDS.names)
+
+    dealt = chunks.select("chunk", "words", "n").mapInArrow(deal, "bucket long, chunk long, codes binary, words binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(count, _WORDS)
+
+
+_WORDS = T.StructType([T.StructField(k, t) for k, t in (("chunk", T.LongType()), ("code", T.LongType()), ("word", T.StringType()), ("n", T.LongType()), ("c", T.LongType()), ("first", T.BooleanType()))])
+
+
+def with_counts(chunks: DataFrame, counts: DataFrame, classes: Classes | None = None) -> DataFrame:
+    """The chunks with ``counts``, those of their dictionaries' words in all training, and ``about``, what ``classes`` say of these words."""
+    spread = chunks.sparkSession.sparkContext.broadcast(classes)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= DEALT:
+                yield parts(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield parts(pa.Table.from_batches(held))
+
+    def parts(table: pa.Table) -> pa.RecordBatch:
+        chunk, code, c, first = (table.column(k).to_numpy() for k in ("chunk", "code", "c", "first"))
+        about = np.zeros(len(c), np.int64)
+        if spread.value is not None:
+            coded = table.column("word").combine_chunks().cast(pa.binary()).dictionary_encode()
+            which, total = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+            total[which] = c
+            about = spread.value.about(coded.dictionary.to_pylist(), total)[which] | first.astype(np.int64) << 48
+        order = np.argsort(chunk, kind="stable")
+        there, start = np.unique(chunk[order], return_index=True)
+        runs = [order[i:j] for i, j in zip(start.tolist(), [*start.tolist()[1:], len(order)], strict=True)]
+        columns = [pa.array([_planes(x[r], "<i8") for r in runs], pa.binary()) for x in (code, c, about)]
+        return pa.RecordBatch.from_arrays([pa.array(there), *columns], names=["chunk", "code", "c", "about"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one, cells = batch.slice(i, 1), batch.column(batch.num_columns - 1)[i].values
-                c = np.zeros(len(cells), np.int64)
-                c[cells.field(0).to_numpy()] = cells.field(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([_planes(c, "<i8")])], names=[*one.schema.names[:-1], "counts"])
+                code, c, about = (np.concatenate([_unplaned(x.as_py(), "<i8") for x in cells.field(k)]) for k in range(3))
+                back = np.argsort(code)
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([_planes(c[back], "<i8")]), pa.array([_planes(about[back], "<i8")])], names=[*one.schema.names[:-1], "counts", "about"])
 
-    cells = counts.select("chunk", F.struct("code", "c").alias("cell")).groupBy("chunk").agg(F.collect_list("cell").alias("cells"))  # a dictionary's
-    return chunks.drop("n").join(cells, "chunk").mapInArrow(run, _COUNTED)
+    cells = counts.select("chunk", "code", "word", "c", "first").mapInArrow(gather, "chunk long, code binary, c binary, about binary")
+    cells = cells.groupBy("chunk").agg(F.collect_list(F.struct("code", "c", "about")).alias("cells"))  # a dictionary's
+    return chunks.select(*_DOCS_NAMES).join(cells, "chunk").mapInArrow(run, _COUNTED)
 
 
 def trigram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,28 +277,40 @@ class Classes:
         cls[other] = FIRST + rare_class([words[i] for i in other.tolist()], self.table)
         return cls, slot
 
+    def about(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Slot, class and hash of each word in one number; words that training never saw have no class, those met once no hash."""
+        out = np.full(len(words), UNSEEN << 32)
+        seen = np.flatnonzero(counts > 0)
+        cls, slot = self.of([words[i] for i in seen.tolist()])
+        out[seen] = slot << 40 | cls << 32
+        often = np.flatnonzero(counts > 1)
+        out[often] |= np.fromiter((zlib.crc32(words[i]) for i in often.tolist()), np.int64, len(often))
+        return out
+
 
 @dataclass
 class Chunk:
-    """A row of ``coded`` with the counts of its words, read back."""
+    """A row of ``with_counts``, read back; ``about`` spares looking at the words."""
 
     words: list[bytes]
     counts: np.ndarray
     codes: np.ndarray
     sizes: np.ndarray
     out: np.ndarray
+    about: np.ndarray | None = None
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, i: int) -> Chunk:
         at = {name: batch.column(batch.schema.get_field_index(name))[i] for name in COLUMNS}
-        words, out = at["words"].as_py().split(BREAK), at["out"].values.to_numpy(zero_copy_only=False).astype(bool)
-        return cls(words, _unplaned(at["counts"].as_py(), "<i8"), _unplaned(at["codes"].as_py()), _unplaned(at["sizes"].as_py()), out)
+        out = at["out"].values.to_numpy(zero_copy_only=False).astype(bool)
+        counts, about = (_unplaned(at[k].as_py(), "<i8") for k in ("counts", "about"))
+        return cls([], counts, _unplaned(at["codes"].as_py()), _unplaned(at["sizes"].as_py()), out, about)
 
     def training(self) -> Chunk:
-        return Chunk(self.words, self.counts, self.codes[np.repeat(~self.out, self.sizes)], self.sizes[~self.out], np.zeros(int((~self.out).sum()), bool))
+        return Chunk(self.words, self.counts, self.codes[np.repeat(~self.out, self.sizes)], self.sizes[~self.out], np.zeros(int((~self.out).sum()), bool), self.about)
 
 
-COLUMNS = ("words", "counts", "codes", "sizes", "out")
+COLUMNS = ("counts", "about", "codes", "sizes", "out")
 
 
 def neighbours(chunks: DataFrame, words: list[bytes], beside: int) -> np.ndarray:
@@ -246,9 +322,10 @@ def neighbours(chunks: DataFrame, words: list[bytes], beside: int) -> np.ndarray
         index = {w: i for i, w in enumerate(spread.value)}
         total = np.zeros(n * beside, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk.read(batch, i).training()
-                ids = np.fromiter((index.get(w, -1) for w in chunk.words), np.int64, len(chunk.words))[chunk.codes]
+            for own, codes, sizes, out in zip(*batch.columns, strict=True):
+                own, train = own.as_py().split(BREAK), ~out.values.to_numpy(zero_copy_only=False).astype(bool)
+                codes = _unplaned(codes.as_py())[np.repeat(train, _unplaned(sizes.as_py()))]
+                ids = np.fromiter((index.get(w, -1) for w in own), np.int64, len(own))[codes]
                 for a, b in ((ids[1:], ids[:-1]), (ids[:-1], ids[1:])):
                     ok = np.flatnonzero((b >= 0) & (b < beside) & (a >= 0))
                     total += np.bincount(a[ok] * beside + b[ok], minlength=n * beside)
@@ -257,7 +334,7 @@ def neighbours(chunks: DataFrame, words: list[bytes], beside: int) -> np.ndarray
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
 
-    cells = chunks.select(*COLUMNS).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = chunks.select("words", "codes", "sizes", "out").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n * beside)
     out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
     return out.reshape(n, beside)
@@ -331,20 +408,24 @@ def steps(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, bias: np.nd
         np.exp(grad, out=grad)
         grad /= grad.sum(0)
         grad[y, np.arange(len(y))] -= 1
-        flat = np.concatenate(part)
+        flat = np.concatenate(part).astype(np.int64)
         times = np.bincount(flat, minlength=BUCKETS)
-        which = np.flatnonzero(times)
+        which = np.flatnonzero(times.astype(bool))
         number[which] = np.arange(len(which))
         at, times = number.take(flat), times.take(which)
         mean = np.empty((width, len(which)), np.float32)
+        wide = np.empty((FEATURES, len(y)))
         for k in range(width):  # gradients of equal rows add up
-            mean[k] = np.bincount(at, np.tile(grad[k], FEATURES), len(which))
+            wide[:] = grad[k]
+            mean[k] = np.bincount(at, wide.ravel(), len(which))
         met[which] += times
         mean /= np.sqrt(times).astype(np.float32)
         total = squares.take(which) + np.einsum("ij,ij->j", mean, mean) / np.float32(width)
         squares[which] = total
         mean *= rate / np.sqrt(total + tiny)
-        weights[which] = weights.take(which, 0) - mean.T
+        new = weights.take(which, 0)
+        new -= mean.T
+        weights[which] = new
 
 
 @dataclass
@@ -359,8 +440,8 @@ class Model:
 
     def read(self, chunk: Chunk, seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, slot and hash of each word; those with fewer counts than ``seen`` are the unseen token, and as context so are words met once."""
-        cls, slot = self.classes.of(chunk.words)
-        h = np.fromiter(map(zlib.crc32, chunk.words), np.int64, len(chunk.words)) + 16
+        about = self.classes.about(chunk.words, chunk.counts) if chunk.about is None else chunk.about
+        cls, slot, h = about >> 32 & 255, about >> 40 & 255, (about & 0xFFFFFFFF) + 16
         h[chunk.counts < 2] = 9
         unseen = chunk.counts < seen
         cls[unseen], slot[unseen] = UNSEEN, 0
@@ -453,30 +534,42 @@ def train(chunks: DataFrame, model: Model) -> None:
 
 
 def fit(chunks: DataFrame, counts: DataFrame) -> Model:
-    """The model of the training texts in ``chunks`` (as ``with_counts`` gives them; ``counts`` as ``counted`` does)."""
+    """The model of the training texts in ``chunks`` (as ``coded`` or ``with_counts`` gives them; ``counts`` as ``counted`` does)."""
+    return fitted(chunks, counts)[0]
+
+
+def fitted(chunks: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model and the chunks with all that it reads of them."""
     found, own = classes(chunks, counts)
-    spread = chunks.sparkSession.sparkContext.broadcast(found)
+    ready = stored(with_counts(chunks, counts, found))
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v, once = np.zeros(found_count), np.zeros(found_count), 0
         for batch in batches:
-            cls, slot = spread.value.of(batch.column(0).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(slot), batch.column(1)], names=["cls", "slot", "c"])
-
-    n, v = np.zeros(found.count), np.zeros(found.count)
-    words = counts.where(F.col("first") & (F.col("c") > 0)).select("word", "c").mapInArrow(classed, "cls long, slot long, c long")
-    for r in words.where((F.col("slot") == SLOTS - 1) | (F.col("cls") == ENDS)).groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        n[r.cls], v[r.cls] = r.n, r.v
+            for c, about in zip(*batch.columns, strict=True):
+                c, about = _unplaned(c.as_py(), "<i8"), _unplaned(about.as_py(), "<i8")
+                new = (about >> 48 == 1) & (c > 0)  # one entry of each word of training
+                once += int((new & (c == 1)).sum())
+                cls = about >> 32 & 255
+                new &= (about >> 40 & 255 == SLOTS - 1) | (cls == ENDS)
+                n += np.bincount(cls[new], c[new], found_count)
+                v += np.bincount(cls[new], minlength=found_count)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(found_count), -1]), pa.array([*n, once]).cast(pa.int64()), pa.array([*v, 0]).cast(pa.int64())], names=["cls", "n", "v"])
+
+    found_count = found.count
+    got = {r.cls: r for r in ready.select("counts", "about").mapInArrow(sums, "cls long, n long, v long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    n, v = (np.array([got[i][k] for i in range(found_count)], float) for k in ("n", "v"))
     own[:, SLOTS - 1] = n
     there = own > 0
     there[:, SLOTS - 1] = v > 0
     size = own.sum(1)
     size[ENDS] = n[ENDS]
     bias = np.where(size > 0, np.log(size + 0.5), NEVER)
-    bias[UNSEEN] = np.log(counts.where(F.col("first") & (F.col("c") == 1)).count() + 0.5)
+    bias[UNSEEN] = np.log(got[-1].n + 0.5)
     slot_bias = np.where(there, np.log(own + 0.5), NEVER)
     model = Model(found, bias.astype(np.float32), slot_bias.astype(np.float32), n + 0.5 * v)
-    train(chunks, model)
-    return model
+    train(ready, model)
+    return model, ready
 
 
 _SCORES = T.StructType(
@@ -498,8 +591,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunks = stored(coded(rows))
     counts = stored(counted(chunks))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
-    chunks = stored(with_counts(chunks, counts))
-    model = fit(chunks, counts) if total else None
+    model, chunks = fitted(chunks, counts) if total else (None, stored(with_counts(chunks, counts)))
     floor = float(np.log10(total + 0.5 * (kinds + 1)))
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -515,7 +607,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 columns = [batch.column(batch.schema.get_field_index("ids"))[i].values, pa.array(chunk.out), chunk.sizes, per_doc((chunk.counts > 0)[chunk.codes]), np.full(len(nothing), total), base, own]
                 yield pa.RecordBatch.from_arrays([x.cast(k) if isinstance(x, pa.Array) else pa.array(x).cast(k) for x, k in zip(columns, _KINDS, strict=True)], names=_SCORES.names)
 
-    return chunks.drop("chunk").mapInArrow(run, _SCORES)
+    return chunks.select("ids", *COLUMNS).mapInArrow(run, _SCORES)
 
 
 _KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

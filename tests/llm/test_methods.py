@@ -332,6 +332,28 @@ def test_language_model_probabilities_add_up(spark):
         assert (p > 0).all()
 
 
+def test_language_model_describes_each_word_once(spark):
+    """Chunks have what the classes say of their words, by one look at each word of the corpus; long words by their digest."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["ä" * 400 + "x", "ä" * 400 + "y"]
+    texts = [" ".join(rng.choice(words) for _ in range(9)) for _ in range(60)] + [None, "only-" + "z" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("out", maxent.held_out("id")).repartition(4)
+    chunks = maxent.stored(maxent.coded(rows))
+    assert chunks.count() == 4 and max(len(w) for r in chunks.collect() for w in r.words.split(maxent.BREAK)) <= 4 * maxent.LONGEST
+    counts = maxent.stored(maxent.counted(chunks))
+    want = collections.Counter(maxent.brief(w) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*(t or "").encode().split(), maxent.END])
+    model, ready = maxent.fitted(chunks, counts)
+    firsts = collections.Counter()
+    for r in ready.collect():
+        own = bytes(r.words).split(maxent.BREAK)
+        about, c = maxent._unplaned(bytes(r.about), "<i8"), maxent._unplaned(bytes(r.counts), "<i8")
+        assert c.tolist() == [want.get(w, 0) for w in own]
+        assert (about & (1 << 48) - 1).tolist() == model.classes.about(own, c).tolist()
+        firsts.update(w for w, x in zip(own, about >> 48, strict=True) if x)
+    assert set(want) <= set(firsts) and set(firsts.values()) == {1}
+    assert sum(w.startswith("ä".encode()) for w in firsts) == 2
+
+
 def test_language_model_tree_sums_all_parts(spark):
     rows = [(t, 0, b, np.full(4, t + b, "<f4").tobytes(), np.full(2, t, "<i8").tobytes()) for t in range(70) for b in (0, 8)]
     got = {r.block: r for r in maxent._summed(spark.createDataFrame(rows, maxent._PARTS).repartition(5), 70).collect()}
