@@ -71,6 +71,11 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int) -> Iterator[pa.Rec
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Hand back what Arrow has freed but holds: at the end of a task, for the tasks of other operators that the worker gets next."""
+    pa.default_memory_pool().release_unused()
+
+
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows, written as a compressed table in the shared folder and read from there, and its folder: lineage ends, and columns are read apart."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -38,11 +38,11 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import SPACE, byte_letters
-from .common import slices
+from .common import release, slices
 
 #: Tokens that are packed together: about four thousand sequences of 1024.
 WINDOW = 1 << 22
-#: Chunks whose ids a task keeps before it forgets them all.
+#: Chunks whose ids a task keeps before it forgets them all; it forgets them at its end too.
 MEMO = 300_000
 #: Bytes of text whose chunks are told apart together.
 RUN = 4 << 20
@@ -247,6 +247,8 @@ def pack_documents(
                         yield from flush()
         if ids:
             yield from flush()
+        bpe.memo.clear()
+        release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     return narrow.mapInArrow(run, PIECES)

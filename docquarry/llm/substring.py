@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh, raw_texts, slices
+from .common import append_columns, fresh, raw_texts, release, slices
 
 WINDOW = 35
 GRAM = 4
-#: Bytes of text whose windows are looked at together.
-SLICE = 6 << 20
+#: Bytes of text whose windows are looked at together; about 25 times as many are in use meanwhile.
+SLICE = 1 << 20
+#: Bytes of text in which a repeated string is measured once.
+MEASURED = 6 << 20
 #: Bytes of packed strings that a task gathers before it hands them on.
 GATHER = 24 << 20
 #: Bytes of packed strings that a bucket holds at most; about 25 times as many are in use while it is looked at.
@@ -196,26 +198,43 @@ def _cells(least: np.ndarray, cells: int) -> np.ndarray:
 def _measured(rows: DataFrame, window: int, gram: int, cells: int) -> DataFrame:
     """(cell, whole, alone): bytes of the strings of a cell, as they are and with each window by itself.
 
-    Strings that repeat within a slice count once, as they travel.
+    Strings that repeat within ``MEASURED`` bytes of text count once, much as they travel.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole_of, alone_of = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # names of strings, cells, sizes whole and alone
+        seen = 0
+
+        def add_up() -> None:
+            nonlocal seen
+            if found:
+                name, cell, size, alone = (np.concatenate(x) for x in zip(*found, strict=True))
+                one = np.unique(name, return_index=True)[1]
+                np.add.at(whole_of, cell[one], size[one])
+                np.add.at(alone_of, cell[one], alone[one])
+                found.clear()
+            seen = 0
+
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 x = _Slice(batch, window, gram)
                 if not len(x.first):
                     continue
+                if seen and seen + len(x.words.text) > MEASURED:
+                    add_up()
                 h = window_hashes(x.words.hash, window)
                 name = mix(h[x.first] + x.count.astype(np.uint64)) + h[x.first + x.count - 1]
-                one = np.unique(name, return_index=True)[1]
+                name, one = np.unique(name, return_index=True)
                 first, count, cell = x.first[one], x.count[one], _cells(x.least[one], cells)
                 starts, ends = (np.concatenate([[0], np.cumsum(a)]) for a in (x.words.start, x.words.end))
                 last = first + count + window - 1
                 size = x.words.end[last - 1] - x.words.start[first] + 1
                 alone = ends[last] - ends[first + window - 1] - starts[first + count] + starts[first] + count
-                np.add.at(whole_of, cell, size)
-                np.add.at(alone_of, cell, alone)
+                found.append((name, cell, size, alone))
+                seen += len(x.words.text)
+        add_up()
+        release()
         held = np.flatnonzero(whole_of)
         for at in range(0, len(held), 1 << 16):
             part = held[at : at + (1 << 16)]
@@ -312,6 +331,7 @@ def _split(rows: DataFrame, window: int, gram: int, base: np.ndarray, spread: np
                     yield from flush()
                     held = 0
         yield from flush()
+        release()
 
     return rows.mapInArrow(run, _FOUND)
 

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -163,6 +164,19 @@ def test_packing_covers_every_token_without_padding():
         assert not costs or max(costs) < 2.5 * min(costs)
 
 
+def test_packing_forgets_its_chunks_at_the_end_of_a_task(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"some words of {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+
+    def after(batches):
+        for batch in batches:
+            rows = batch.num_rows
+        yield pa.record_batch([pa.array([rows]), pa.array([len(packing.loaded(path).memo)])], names=["pieces", "kept"])
+
+    assert packing.pack_documents(docs, path).count() >= 50
+    assert spark.range(1).coalesce(1).mapInArrow(after, "pieces long, kept long").first().kept == 0
+
+
 def test_packed_ids_join_to_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -219,6 +233,31 @@ def test_hot_minimiser_is_split_below_the_bound(spark):
     assert max(held.values()) <= bound
 
 
+def test_a_batch_is_looked_at_in_little_memory(monkeypatch):
+    rng = random.Random(5)
+    rows = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(1500)) for _ in range(800)]
+    batch = pa.record_batch([pa.array(range(800)), pa.array(range(800)), pa.array(rows)], names=["id", "fp", "text"])
+
+    class Rows:
+        """A table whose only task runs here."""
+
+        def mapInArrow(self, run, schema):
+            self.found = run(iter([batch]))
+            return self
+
+        groupBy = agg = lambda self, *columns: self
+
+    monkeypatch.setattr(substring, "F", type("Functions", (), {"sum": staticmethod(lambda name: F.lit(name))}))
+    task = Rows()
+    substring._measured(task, 35, 4, 1024)
+    tracemalloc.start()
+    whole = sum(sum(x.column(1).to_pylist()) for x in task.found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole > batch.nbytes > 7_000_000
+    assert peak < 64 << 20
+
+
 def test_colliding_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "window_hashes", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
     strings = [b"a b c d", b"b c x y", b"p q r", b"p q r"]
