@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ..session import remove_folder
 from .bpe import SPACE, byte_letters
 from .common import slices, stored_at, texts
-from .packing import SETTLED, ByteBpe
+from .packing import BLANK, SETTLED, ByteBpe
 
 SLICE = 4 << 20
 #: Chunks that are encoded at once.
@@ -53,6 +53,8 @@ AT_ONCE = 4096
 
 _BESIDE = re.compile(f"[{SPACE}\\x1c-\\x1f] | [{SPACE}\\x1c-\\x1f]|^ | $")
 _CUT = re.compile(f"(?<=[^{SPACE}\\x1c-\\x1f]) (?=[^{SPACE}\\x1c-\\x1f])")
+#: Chunks that A encodes by themselves, as Arrow's expressions have it: empty, with white space, or with letters that are not settled.
+_ALONE = f"[^\0-{chr(ord(SETTLED) - 1)}]|[{BLANK}]|\\A\\z"
 
 #: From the tables a and b of token intervals (chunk k, id, bytes s to e of one line): A's tokens with their groups
 #: (``other`` is the B token of the same bytes), the rest of B's tokens with theirs, and links of id pairs by chunk.
@@ -90,7 +92,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         bpe = ByteBpe(a_path)
-        self.a, self.fast = bpe.exact, bpe.fast
+        self.a, self.fast, self.opens = bpe.exact, bpe.fast, bpe.opens
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {x: b for b, x in enumerate(byte_letters())}
@@ -101,7 +103,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_bytes, self.b_bytes = (pa.array(x, pa.large_binary()) for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (self.a_bytes, self.b_bytes))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
 
     def chunks(self, text: str) -> list[str]:
@@ -110,24 +113,42 @@ class Aligner:
             return [text]
         return _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
 
-    def encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B. Chunks of settled letters go through the faster of two libraries over A's vocabulary."""
-        a = [self.fast.encode_ordinary(" " + c) if max(c, default="") < SETTLED else self.a.encode(" " + c, add_special_tokens=False).ids for c in chunks]
-        b = [ids for at in range(0, len(chunks), AT_ONCE) for ids in self.b.encode(chunks[at : at + AT_ONCE], num_threads=1)]
-        return a, b
+    def encoded_a(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A in each chunk, and their ids.
+
+        Chunks of settled letters without white space go through the faster of two libraries over A's vocabulary, in one
+        call: their ids part where a token opens with a space, which only the first of a chunk does.
+        """
+        alone = pc.match_substring_regex(pa.array(chunks, pa.string()), _ALONE).to_numpy(zero_copy_only=False)
+        together = list(compress(chunks, (~alone).tolist()))
+        flat = np.array(self.fast.encode_ordinary(" " + " ".join(together)) if together else [], np.int64)
+        n = np.empty(len(chunks), np.int64)
+        n[~alone] = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
+        if not alone.any():
+            return n, flat
+        own = [self.fast.encode_ordinary(" " + c) if max(c, default="") < SETTLED else self.a.encode(" " + c, add_special_tokens=False).ids for c in compress(chunks, alone.tolist())]
+        n[alone] = list(map(len, own))
+        of_alone = np.repeat(alone, n)
+        ids = np.empty(len(of_alone), np.int64)
+        ids[~of_alone], ids[of_alone] = flat, np.fromiter(chain.from_iterable(own), np.int64)
+        return n, ids
+
+    def encoded_b(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of B in each chunk, and their ids."""
+        found = [ids for at in range(0, len(chunks), AT_ONCE) for ids in self.b.encode(chunks[at : at + AT_ONCE], num_threads=1)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return n, np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
 
     def aligned(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """By chunk: whether both give its bytes, tokens of A and of B, groups, and the groups' ids in words; the table of links stays in the database."""
         raw = [b" " + c.encode() for c in chunks]
         whole, ends = b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        good, lines = np.ones(len(chunks), bool), []
-        for ids, token_bytes, sizes in zip(self.encoded(chunks), (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), strict=True):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
-            spelled = b"".join([token_bytes[x] for x in flat.tolist()])
-            if spelled != whole or not np.array_equal(np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum(n)], ends):
-                good &= np.array([b"".join([token_bytes[x] for x in i]) == r for i, r in zip(ids, raw, strict=True)], bool)
-            lines.append((n, flat))
+        good, lines = np.ones(len(chunks), bool), [self.encoded_a(chunks), self.encoded_b(chunks)]
+        for (n, flat), token_bytes, sizes in zip(lines, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), strict=True):
+            at = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(n)])]
+            spelled = token_bytes.take(pa.array(flat)).buffers()[2].to_pybytes()[: at[-1]] if len(flat) else b""
+            if spelled != whole or not np.array_equal(at[1:], ends):
+                good &= np.array([spelled[s:e] == r for (s, e), r in zip(pairwise(at.tolist()), raw, strict=True)], bool)
         counts = []
         for name, (n, flat), sizes in zip(("a", "b"), lines, (self.a_sizes, self.b_sizes), strict=True):
             if not good.all():
@@ -141,7 +162,7 @@ class Aligner:
         ga, gb = (self.db.sql(f"select * from {t} order by s").to_arrow_table() for t in ("ga", "gb"))
         g = ga["g"].to_numpy()
         first = np.diff(g, prepend=-1) > 0
-        each = [f"{p}|{q}" for p, q in zip(ga["id"].to_pylist(), ga["other"].to_pylist(), strict=True)]
+        each = [f"{p}|{q}" for p, q in zip(ga["id"].to_numpy().tolist(), pc.fill_null(ga["other"], -1).to_numpy().tolist(), strict=True)]
         rest = np.flatnonzero(pc.is_null(ga["other"]).to_numpy(zero_copy_only=False))
         for (start, ours), (_, theirs) in zip(_runs(g[rest], ga["id"].to_numpy()[rest]), _runs(gb["g"].to_numpy(), gb["id"].to_numpy()), strict=True):
             each[rest[start]] = f"{ours}|{theirs}"
@@ -159,11 +180,12 @@ class Aligner:
         flat = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
         good, *counts, words = self.aligned(chunks)
         doc = np.repeat(np.arange(len(parts)), lengths)
+        order, ends = flat.tolist(), np.cumsum(lengths).tolist()
         whole = lengths > 0
         whole[doc[~good[flat]]] = False
         doc, flat = doc[whole[doc]], flat[whole[doc]]
         n_a, n_b, n_groups = (np.bincount(doc, c[flat], len(parts)).astype(np.int64) for c in counts)
-        sha = [hashlib.sha256(";".join([words[number[c]] for c in part]).encode()).hexdigest() if w else "" for part, w in zip(parts, whole.tolist(), strict=True)]
+        sha = [hashlib.sha256(";".join([words[c] for c in order[e - n : e]]).encode()).hexdigest() if w else "" for e, n, w in zip(ends, lengths.tolist(), whole.tolist(), strict=True)]
         self.db.register("refs", pa.table({"d": doc, "k": flat}))
         found = self.db.sql(_PAIRS).to_arrow_table()
         for name in ("a", "b", "refs"):

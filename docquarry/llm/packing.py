@@ -51,7 +51,7 @@ SETTLED = "ɐ"
 
 _AFTER_SPACE = re.compile(f"[{SPACE}\\x1c-\\x1f] | [{SPACE}\\x1c-\\x1f]")
 #: Space of settled letters, as Arrow's expressions have it.
-_BLANK = "\t-\r \x1c-\x1f\x85\xa0"
+BLANK = "\t-\r \x1c-\x1f\x85\xa0"
 _CUT = re.compile(f"(?<=[^{SPACE}\\x1c-\\x1f]) (?=[^{SPACE}\\x1c-\\x1f])")
 
 
@@ -77,7 +77,7 @@ class ByteBpe:
         self.memo: dict[str, bytes] = {}
         self.opens = np.zeros(max(ranks.values()) + 1, bool)
         self.opens[[i for t, i in ranks.items() if t[0] == 32]] = True
-        self.apart = "|".join([f"[^\0-{chr(ord(SETTLED) - 1)}]", r"\A |\A\z| \z", f"[{_BLANK}] | [{_BLANK}]", *map(re.escape, self.special)])
+        self.apart = "|".join([f"[^\0-{chr(ord(SETTLED) - 1)}]", r"\A |\A\z| \z", f"[{BLANK}] | [{BLANK}]", *map(re.escape, self.special)])
 
     def _chunk(self, chunk: str) -> bytes:
         if max(chunk, default="") < SETTLED and not any(s in chunk for s in self.special):

@@ -88,3 +88,21 @@ def test_long_texts_and_long_groups():
         [(_, n_a, n_b, n_groups, n_links, _, _, sha), _] = plain([(0, text), (1, "many words")])
         assert (x["n_a"][0], x["n_b"][0], x["n_groups"][0], x["groups_sha256"][0]) == (n_a, n_b, n_groups, sha)
         assert x["links"][: x["offsets"][1]].sum() == n_links
+
+
+def test_chunks_without_white_space_are_encoded_in_one_call():
+    aligner = alignment.Aligner(A, B)
+    calls, encode = [], aligner.fast.encode_ordinary
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encode(text)
+
+    aligner.fast = Counted()
+    texts = ["some words, don't 3.14 stand here", "here\nstand words", "x \n y", "漢字 words", "…", " lead", "a\x00b <|endoftext|> é", ""]
+    x = aligner.slice(texts)
+    assert [len(c.split()) for c in calls if not set("\n\t") & set(c)][0] > 5 and len(calls) <= 5
+    for i, row in enumerate(plain(list(enumerate(texts)))):
+        assert (x["n_a"][i], x["n_b"][i], x["n_groups"][i], x["groups_sha256"][i]) == (*row[1:4], row[7])
+        assert x["links"][x["offsets"][i] : x["offsets"][i + 1]].sum() == row[4]
