@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import plain_json_path as plain
 import pytest
@@ -120,3 +121,23 @@ def test_refusals(spark, monkeypatch):
     rows = sets.described(F.col("p"))
     got = spark.createDataFrame([("$['a'].b",), ("$[",), (None,)], "p string").select(rows.alias("x")).collect()
     assert [r.x and (r.x.text, r.x.position) for r in got] == [("$.a.b", -1), (None, 1), None]
+
+
+def test_chosen_columns_of_matches(spark):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "id int, doc string")
+    whole = sets.find_all(df, "doc", PATHS, "id")
+    some = sets.find_all(df, "doc", PATHS, "id", columns=("text", "path", "at"))
+    assert some.columns == ["id", "text", "path", "at"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.select(some.columns).collect()))
+
+
+def test_many_filters_over_many_elements_take_no_python_for_each():
+    """A step of Python for each element and filter took minutes."""
+    raw = [json.dumps({"items": [{"q": i % 50, "s": "xy"[i % 2], "big": 10**i if i == 400 else i} for i in range(k, k + 1000)]}).encode() for k in range(0, 150_000, 1000)]
+    nodes = index(raw)
+    walk = sets.Walk(nodes, raw)
+    began = time.process_time()
+    found = {p: len(rows) for p, rows in walk.matches(sets.trie([f"$.items[?(@.q < {k} && @.s == 'x')]" for k in range(20)] + ["$.items[?(@.big > 10)]"]), walk.roots())}
+    assert time.process_time() - began < 25
+    assert [found[f"$.items[?(@.q < {k} && @.s == 'x')]"] for k in range(20)] == [3000 * ((k + 1) // 2) for k in range(20)]
+    assert found["$.items[?(@.big > 10)]"] == 150_000 - 12
